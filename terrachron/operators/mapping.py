@@ -191,7 +191,7 @@ def skip_reasons(elements: DataFrame) -> DataFrame:
                 F.lit(key).alias("key"),
                 F.array(*[F.lit(v) for v in accepted]).alias("accepted"),
                 F.array(*[F.lit(v) for v in excluded]).cast("array<string>").alias("excluded"),
-                _literal_map({**reject, "natural": ["coastline"]} if key == "natural" else reject).alias("reject"),
+                _literal_map(_reject_with_coastline(layer, reject)).alias("reject"),
                 F.array(*[F.lit(t) for t in types]).alias("types"),
             )
             for layer, geometry, key, accepted, excluded, reject, types in rule_rows()
@@ -283,6 +283,13 @@ def skip_reasons(elements: DataFrame) -> DataFrame:
     ).drop("_reasons")
 
 
+def _reject_with_coastline(layer: str, reject: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Coastlines are kept out of every layer that maps ``natural``."""
+    if "natural" not in LAYERS[layer].mapping:
+        return reject
+    return {**reject, "natural": ["coastline"]}
+
+
 def _literal_map(values: dict[str, list[str]]) -> Column:
     pairs = [
         F.struct(F.lit(k).alias("key"), F.array(*[F.lit(v) for v in vs]).alias("value"))
