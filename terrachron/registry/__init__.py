@@ -6,13 +6,6 @@ import importlib
 
 MODULES = [
     "scalars",
-    "relational",
-    "temporal",
-    "tags",
-    "maps",
-    "view_jobs",
-    "changes",
-    "checks",
 ]
 
 
