@@ -7,6 +7,8 @@ Dates stay text: a DateType before year 1 cannot be collected in Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Days before each month, and days of each month, in a common year.
@@ -16,8 +18,13 @@ DAYS_OF_MONTH = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 PARTIAL_DATE = r"^(-?)(\d{1,4})(?:-(\d{1,2}))?(?:-(\d{1,2}))?$"
 
 
-def _lookup(values: list[int], month: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), month - 1)
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it.
+
+    Keeps the expression tree small: nested plain expressions would be copied
+    at every use.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def is_leap(year: Column) -> Column:
@@ -31,69 +38,78 @@ def days_in_year(year: Column) -> Column:
     return F.when(is_leap(year), 366).otherwise(365)
 
 
-def _astronomical(sign: Column, digits: Column) -> Column:
-    value = digits.cast("int")
-    return F.when(sign == "-", F.lit(1) - value).otherwise(value)
+def _first_day(text: Column) -> Column:
+    """First day of a partial date as an internal DateType; NULL when it is not one.
 
+    The year is shifted to astronomical numbering first, then the cast to a date
+    checks month and day and fills in what is missing.
+    """
+    body = F.ltrim(text, F.lit("-"))
+    digits = F.substring_index(body, "-", 1)
+    rest = F.substring(body, F.length(digits) + 1, F.lit(10))
+    year = digits.try_cast("int")
+    shifted = F.when(text.startswith("-"), 1 - year).otherwise(year)
 
-def _parts(text: Column):
-    """sign, year digits, month and day of a partial date; NULL where absent."""
-    group = [F.regexp_extract(text, PARTIAL_DATE, i) for i in range(1, 5)]
-    month = F.when(group[2] != "", group[2].cast("int"))
-    day = F.when(group[3] != "", group[3].cast("int"))
-    return group[0], group[1], month, day
+    def iso(shift: Column) -> Column:
+        sign = F.when(shift < 0, "-").otherwise("")
+        return F.concat(sign, F.lpad(F.abs(shift).cast("string"), 4, "0"), rest)
 
+    return F.when(text.rlike(PARTIAL_DATE), bind(shifted, iso).try_cast("date"))
 
-def _month_length(year: Column, month: Column) -> Column:
-    return _lookup(DAYS_OF_MONTH, month) + F.when(is_leap(year) & (month == 2), 1).otherwise(0)
 
+def _given_parts(text: Column) -> Column:
+    """1 for a year, 2 for a month, 3 for a full date."""
+    return F.size(F.split(F.ltrim(text, F.lit("-")), "-"))
 
-def _completed(text: Column, which: str):
-    """sign, year digits, year, month, day with the missing parts filled in."""
+
+def _on_day(text: Column, which: str, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(text, day)`` for the first or last day of a partial date."""
     if which not in ("start", "end"):
         raise ValueError("which must be 'start' or 'end'")
-    sign, digits, month, day = _parts(text)
-    year = _astronomical(sign, F.when(digits != "", digits))
-    full_month = F.coalesce(month, F.lit(1 if which == "start" else 12))
-    last = _month_length(year, full_month)
-    full_day = F.coalesce(day, F.lit(1) if which == "start" else last)
-    valid = year.isNotNull() & full_month.between(1, 12) & (full_day >= 1) & (full_day <= last)
-    return sign, digits, year, full_month, full_day, valid
+
+    def last(text: Column, first: Column) -> Column:
+        parts = _given_parts(text)
+        end_of_month = F.last_day(F.add_months(first, F.when(parts == 1, 11).otherwise(0)))
+        return F.when(parts == 3, first).otherwise(end_of_month)
+
+    def with_text(text: Column) -> Column:
+        first = _first_day(text)
+        day = first if which == "start" else bind(first, lambda f: last(text, f))
+        return bind(day, lambda d: body(text, d))
+
+    return bind(text, with_text)
+
+
+def _month_and_day(day: Column) -> Column:
+    """``-MM-DD`` of a date of any era."""
+    return F.right(day.cast("string"), F.lit(6))
 
 
 def pad_date(text: Column, which: str) -> Column:
     """Complete ``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD`` to its first or last day."""
-    sign, digits, _, month, day, valid = _completed(text, which)
-    return F.when(
-        valid,
-        F.concat(
-            sign,
-            F.lpad(digits, 4, "0"),
-            F.lit("-"),
-            F.lpad(month.cast("string"), 2, "0"),
-            F.lit("-"),
-            F.lpad(day.cast("string"), 2, "0"),
-        ),
-    )
+
+    def padded(text: Column, day: Column) -> Column:
+        sign = F.when(text.startswith("-"), "-").otherwise("")
+        digits = F.substring_index(F.ltrim(text, F.lit("-")), "-", 1)
+        return F.concat(sign, F.lpad(digits, 4, "0"), _month_and_day(day))
+
+    return _on_day(text, which, padded)
 
 
-def _decimal(year: Column, month: Column, day: Column) -> Column:
-    leap_shift = F.when(is_leap(year) & (month > 2), 1).otherwise(0)
-    day_of_year = _lookup(DAYS_BEFORE_MONTH, month) + day + leap_shift
-    return year + (day_of_year - F.lit(0.5)) / days_in_year(year)
+def _decimal(day: Column) -> Column:
+    """A date as a decimal year, at the middle of the day."""
+    year = F.year(day)
+    return year + (F.dayofyear(day) - F.lit(0.5)) / days_in_year(year)
 
 
 def iso_to_decimal(text: Column) -> Column:
     """A full ISO date as a decimal year, at the middle of its day."""
-    _, _, month, day = _parts(text)
-    _, _, year, full_month, full_day, valid = _completed(text, "start")
-    return F.when(valid & month.isNotNull() & day.isNotNull(), _decimal(year, full_month, full_day))
+    return _on_day(text, "start", lambda t, day: F.when(_given_parts(t) == 3, _decimal(day)))
 
 
 def to_decimal(text: Column, which: str) -> Column:
     """``iso_to_decimal(pad_date(text, which))`` in one step."""
-    _, _, year, month, day, valid = _completed(text, which)
-    return F.when(valid, _decimal(year, month, day))
+    return _on_day(text, which, lambda _, day: _decimal(day))
 
 
 def year_text(year: Column) -> Column:
@@ -105,18 +121,24 @@ def year_text(year: Column) -> Column:
 
 def decimal_to_iso(value: Column) -> Column:
     """A decimal year as ISO text; NULL outside the years that fit four digits."""
-    year = F.floor(value).cast("int")
-    ordinal = F.greatest(F.ceil((value - F.floor(value)) * days_in_year(year)).cast("int"), F.lit(1))
-    first = F.when(is_leap(year), F.lit("2000-01-01")).otherwise(F.lit("2001-01-01")).cast("date")
-    month_day = F.substring(F.date_add(first, ordinal - 1).cast("string"), 5, 6)
-    return F.when(value.between(-9998, 9999.999999), F.concat(year_text(year), month_day))
+
+    def from_year(value: Column, year: Column) -> Column:
+        ordinal = F.greatest(F.ceil((value - year) * days_in_year(year)).cast("int"), F.lit(1))
+        first = F.when(is_leap(year), F.lit("2000-01-01")).otherwise(F.lit("2001-01-01"))
+        month_day = _month_and_day(F.date_add(first.cast("date"), ordinal - 1))
+        return F.when(value.between(-9998, 9999.999999), F.concat(year_text(year), month_day))
+
+    return bind(value, lambda v: bind(F.floor(v).cast("int"), lambda year: from_year(v, year)))
 
 
 def valid_date(text: Column) -> Column:
     """True for a real date written as YYYY-MM-DD, YYYY-MM or YYYY."""
-    strict = text.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$")
-    _, digits, _, _, _, valid = _completed(text, "start")
-    return F.coalesce(strict & valid & (digits != "0000"), F.lit(False))
+
+    def valid(text: Column) -> Column:
+        strict = text.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$") & ~text.startswith("0000")
+        return F.coalesce(strict & _first_day(text).isNotNull(), F.lit(False))
+
+    return bind(text, valid)
 
 
 def valid_at(start: Column, end: Column, moment: float) -> Column:

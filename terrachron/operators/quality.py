@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def at_moment(value) -> Column:
+    """A point in time as a literal without a zone; all times are UTC."""
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def closed_in_window(
     changesets: DataFrame, now, min_age: int, max_age: int, limit: int | None = None, tie: str = "id"
 ) -> DataFrame:
@@ -12,7 +17,7 @@ def closed_in_window(
 
     ``limit`` is the size of one checking run.
     """
-    moment = F.lit(now).cast("timestamp")
+    moment = at_moment(now)
     oldest = moment - F.make_dt_interval(secs=F.lit(max_age))
     newest = moment - F.make_dt_interval(secs=F.lit(min_age))
     rows = changesets.filter(F.col("closed_at").between(oldest, newest))

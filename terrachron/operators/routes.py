@@ -14,6 +14,7 @@ from terrachron.functions.routes import (
 )
 from terrachron.functions.text import empty_to_null, trimmed_upper
 from terrachron.operators.intervals import cut_segments, join_overlapping, new_segment_flag
+from terrachron.session import materialize
 from terrachron.operators.skew import (
     HotGroups,
     OrderedGroups,
@@ -84,7 +85,6 @@ def active_routes(
 def route_segments(active: DataFrame) -> DataFrame:
     """One row per way and segment: counts, highway and a hash of the route set."""
     return active.groupBy(*SEGMENT).agg(
-        F.min_by("geometry", F.struct("osm_id", "type", "name")).alias("geometry"),
         F.count_distinct("osm_id").alias("num_routes"),
         F.max("highway").alias("highway"),
         set_hash(trimmed_upper(F.col("ref")), trimmed_upper(F.col("network"))).alias("routeset_hash"),
@@ -119,7 +119,7 @@ def merge_segments(segments: DataFrame, hot: HotGroups | None = None) -> DataFra
     )
     # The row that opens a run; a struct keeps a NULL end apart from a missing row.
     first = F.min_by(
-        F.struct("start_decdate", "end_decdate", "geometry"),
+        F.struct("start_decdate", "end_decdate"),
         F.struct(F.col("start_decdate").isNotNull(), "start_decdate"),
     )
     return (
@@ -141,7 +141,6 @@ def merge_segments(segments: DataFrame, hot: HotGroups | None = None) -> DataFra
             "max_end_date_iso",
             "num_routes",
             "highway",
-            F.col("_first.geometry").alias("geometry"),
             F.col("_first.start_decdate").alias("first_start"),
             F.col("_first.end_decdate").alias("first_end"),
         )
@@ -165,13 +164,21 @@ def normalize_routes(
     """Periods of each way with a constant route set, and the routes of each period.
 
     The second table has one row per period and route, so a way with any number
-    of routes stays spread over the cluster.
+    of routes stays spread over the cluster. Geometries do not travel through
+    the sweep: the period takes that of the first route on its way.
     """
     sources = sources.filter(F.col("way_id").isNotNull())
+    shapes = first_per_key(
+        sources.select("way_id", "geometry", "osm_id", "type", "name"),
+        ["way_id"],
+        [F.col(c).asc_nulls_last() for c in ("osm_id", "type", "name")],
+    ).select("way_id", "geometry")
+    sources = sources.drop("geometry")
     # A way has at most twice as many segments as routes.
     hot = HotGroups(sources, ["way_id"], max(1, group_rows(sources) // 2))
-    active = active_routes(sources, keep_open_start, hot)
+    active = materialize(active_routes(sources, keep_open_start, hot), "active-routes")
     periods = merge_segments(route_segments(active), hot)
+    periods = materialize(periods, "route-periods")
     dated_ways = sources.filter(
         F.col("start_decdate").isNotNull() | F.col("end_decdate").isNotNull()
     ).select("way_id").distinct()
@@ -180,7 +187,6 @@ def normalize_routes(
     undated_periods = undated.groupBy("way_id").agg(
         F.count_distinct("osm_id").alias("num_routes"),
         F.max("highway").alias("highway"),
-        F.min_by("geometry", F.struct("osm_id", "type", "name")).alias("geometry"),
     ).select(
         "way_id",
         unknown.cast("double").alias("min_start_decdate"),
@@ -189,21 +195,21 @@ def normalize_routes(
         unknown.cast("string").alias("max_end_date_iso"),
         "num_routes",
         "highway",
-        "geometry",
     )
     in_first = periods.select(*HEADER, "first_start", "first_end").join(
         active.withColumnsRenamed({"start_decdate": "_s", "end_decdate": "_e", "way_id": "_w"}).drop(
-            "geometry", "highway"
+            "highway"
         ),
         (F.col("way_id") == F.col("_w"))
         & F.col("first_start").eqNullSafe(F.col("_s"))
         & F.col("first_end").eqNullSafe(F.col("_e")),
     )
     dated_routes = in_first.select(*HEADER, *ROUTE_COLUMNS)
-    undated_routes = undated_periods.drop("geometry").join(
+    undated_routes = undated_periods.join(
         undated.select("way_id", *ROUTE_COLUMNS), "way_id"
     ).select(*HEADER, *ROUTE_COLUMNS)
     all_periods = periods.drop("first_start", "first_end").unionByName(undated_periods)
+    all_periods = all_periods.join(shapes, "way_id")
     return all_periods, dated_routes.unionByName(undated_routes)
 
 
@@ -223,6 +229,22 @@ def routes_with_lists(periods: DataFrame, routes: DataFrame, page_rows: int = 10
     return attach(numbered, lists, key)
 
 
+def pivot_slots(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """One column per route type, rank and attribute, from one map per group.
+
+    A map is built once per group; 252 separate conditional maxima would each
+    look at every row.
+    """
+    slot = F.concat_ws("_", "type", "type_rnk")
+    entry = F.struct(slot.alias("slot"), F.struct(*SLOT_ATTRIBUTES).alias("route"))
+    slots = ranked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_slots"))
+    names = [f"{kind}_{i}" for kind in ROUTE_TYPES for i in range(1, SLOTS + 1)]
+    # One lookup per slot first; the attributes are then plain fields.
+    routes = slots.select(*keys, *[F.try_element_at("_slots", F.lit(n)).alias(n) for n in names])
+    columns = [F.col(n)[a].alias(f"route_{n}_{a}") for n in names for a in SLOT_ATTRIBUTES]
+    return routes.select(*keys, *columns)
+
+
 def index_routes(periods: DataFrame, routes: DataFrame) -> DataFrame:
     """Per period, the best routes of each type in fixed slots.
 
@@ -235,19 +257,8 @@ def index_routes(periods: DataFrame, routes: DataFrame) -> DataFrame:
     )
     order = [F.col("ref").isNull(), F.col("prio").desc(), F.col("osm_id"), F.col("direction"), F.col("name")]
     ranked = top_per_key(scored, [*period, "type"], order, SLOTS, "type_rnk")
-    slot = F.concat_ws("_", "type", "type_rnk")
-    slots = ranked.groupBy(*period).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(slot.alias("slot"), F.struct(*SLOT_ATTRIBUTES).alias("route")))
-        ).alias("_slots")
-    )
-    columns = [
-        F.try_element_at("_slots", F.lit(f"{kind}_{i}"))[attribute].alias(f"route_{kind}_{i}_{attribute}")
-        for kind in ROUTE_TYPES
-        for i in range(1, SLOTS + 1)
-        for attribute in SLOT_ATTRIBUTES
-    ]
-    return attach(periods, slots, period).select(*periods.columns, *columns)
+    slots = pivot_slots(ranked, period)
+    return attach(periods, slots, period)
 
 
 def routes_view(indexed: DataFrame) -> DataFrame:

@@ -210,7 +210,10 @@ def paged_lists(
         .withColumn("page", F.floor((F.col("_n") - 1) / page_rows).cast("int"))
     )
     lists = numbered.groupBy(*keys, "page").agg(
-        F.array_sort(F.collect_list(F.struct("_n", "_value"))).alias("_list")
+        # Values may hold maps, which have no order: compare positions only.
+        F.array_sort(
+            F.collect_list(F.struct("_n", "_value")), lambda a, b: F.signum(a["_n"] - b["_n"]).cast("int")
+        ).alias("_list")
     )
     return lists.select(*keys, "page", F.transform("_list", lambda e: e["_value"]).alias(name))
 

@@ -57,3 +57,14 @@ def checkpoint(df):
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def materialize(df, label: str):
+    """Write an intermediate result once and read it back.
+
+    For results that several branches use: the branches then share one
+    computation, read only the columns they need, and survive lost executors.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
