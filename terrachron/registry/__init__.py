@@ -8,6 +8,7 @@ MODULES = [
     "scalars",
     "relational",
     "temporal",
+    "tags",
 ]
 
 
