@@ -12,7 +12,7 @@ MAX_LAT = 85.051129
 
 
 def _clamped(fraction: Column, zoom: Column) -> Column:
-    count = F.shiftleft(F.lit(1), zoom)
+    count = F.pow(F.lit(2.0), zoom)
     cell = F.floor((fraction + EDGE) * count)
     return F.when(fraction <= 0, 0).when(fraction >= 1, count - 1).otherwise(cell).cast("int")
 

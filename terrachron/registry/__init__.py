@@ -9,6 +9,7 @@ MODULES = [
     "relational",
     "temporal",
     "tags",
+    "maps",
 ]
 
 
