@@ -11,21 +11,20 @@ from terrachron.functions.text import empty_to_null, rounded_decimal
 from terrachron.operators.skew import OrderedGroups, attach
 
 
-def _cleaned(fields: Iterable[T.StructField]) -> list[Column]:
-    """Columns as they are, but text with '' as NULL."""
-    return [
-        empty_to_null(F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, T.StringType)
-        else F.col(f.name)
-        for f in fields
-    ]
+def cleaned_columns(df: DataFrame, overrides: Mapping[str, Column] | None = None) -> list[Column]:
+    """Every column; text with '' as NULL, and named overrides instead of the default."""
+    overrides = overrides or {}
+    columns = []
+    for f in df.schema:
+        value = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            value = empty_to_null(value)
+        columns.append(overrides.get(f.name, value).alias(f.name))
+    return columns
 
 
 def project_all(df: DataFrame, overrides: Mapping[str, Column] | None = None) -> DataFrame:
-    """Every column; text with '' as NULL, and named overrides instead of the default."""
-    overrides = overrides or {}
-    columns = zip(df.columns, _cleaned(df.schema))
-    return df.select(*[overrides[n].alias(n) if n in overrides else c for n, c in columns])
+    return df.select(*cleaned_columns(df, overrides))
 
 
 def project_without(df: DataFrame, drop: Iterable[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -34,8 +33,7 @@ def project_without(df: DataFrame, drop: Iterable[str], extra: Sequence[str] = (
     ``extra`` holds SQL expressions of the form ``expression AS name``.
     """
     supplied = {e.rsplit(None, 1)[-1].strip("`\"") for e in extra}
-    kept = [f for f in df.schema if f.name not in supplied.union(drop)]
-    return df.select(*_cleaned(kept), *[F.expr(e) for e in extra])
+    return df.select(*cleaned_columns(df.drop(*drop, *supplied)), *[F.expr(e) for e in extra])
 
 
 def area_columns(value: Column | None) -> dict[str, Column]:

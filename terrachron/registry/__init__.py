@@ -10,6 +10,7 @@ MODULES = [
     "temporal",
     "tags",
     "maps",
+    "view_jobs",
 ]
 
 
