@@ -11,6 +11,7 @@ MODULES = [
     "tags",
     "maps",
     "view_jobs",
+    "changes",
 ]
 
 
