@@ -12,6 +12,7 @@ MODULES = [
     "maps",
     "view_jobs",
     "changes",
+    "checks",
 ]
 
 
