@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from terrachron.functions.dates import bind
 from terrachron.functions.geometry import area, broken_way
 from terrachron.functions.text import drop_tags, empty_to_null, tag
 from terrachron.operators.skew import attach
@@ -245,42 +246,45 @@ def skip_reasons(elements: DataFrame) -> DataFrame:
             .otherwise(F.lit(""))
         )
 
+    reasons = F.transform(F.filter(rules, matched), reason)
     relation_type = empty_to_null(tag(tags, "type"))
     nodes = F.col("node_count")
-    reasons = F.transform(F.filter(rules, matched), reason)
-    unmapped = F.size("_reasons") == 0
-    taken = F.array_contains("_reasons", F.lit(""))
     broken = F.coalesce(broken_way(kind, tag(tags, "area"), nodes), F.lit(False))
-    # Ordered rules: condition, text, and whether the mapper should hear of it.
-    cases = [
-        (tags.isNull() | (F.size(tags) == 0), F.lit("Element has no tags"), False),
-        (
-            (kind == "relation") & (F.col("member_count") == 0),
-            F.lit("Relation has no members"),
-            False,
-        ),
-        (
-            (kind == "relation") & relation_type.isNotNull() & ~relation_type.isin(RELATION_TYPES),
-            F.concat(F.lit("Relation type '"), relation_type, F.lit("' is not imported")),
-            False,
-        ),
-        (
-            broken & F.coalesce(tag(tags, "area") == "yes", F.lit(False)),
-            F.concat(F.lit("Way has area=yes but only "), nodes.cast("string"), F.lit(" nodes")),
-            True,
-        ),
-        (broken, F.concat(F.lit("Way has only "), nodes.cast("string"), F.lit(" node(s)")), True),
-        (unmapped, F.lit("No tags match the import rules"), False),
-        (~taken, F.concat(F.lit("Rejected by all layers: "), F.array_join("_reasons", "; ")), True),
-    ]
-    text, comment = F.lit(None).cast("string"), F.lit(False)
-    for condition, message, commentable in reversed(cases):
-        hit = F.coalesce(condition, F.lit(False))
-        text = F.when(hit, message).otherwise(text)
-        comment = F.when(hit, F.lit(commentable)).otherwise(comment)
-    return elements.withColumn("_reasons", reasons).withColumns(
-        {"skip_reason": text, "commentable": comment}
-    ).drop("_reasons")
+    is_area = F.coalesce(tag(tags, "area") == "yes", F.lit(False))
+
+    def decide(reasons: Column) -> Column:
+        """The first case that applies: text, and whether the mapper should hear of it."""
+        cases = [
+            (tags.isNull() | (F.size(tags) == 0), F.lit("Element has no tags"), False),
+            ((kind == "relation") & (F.col("member_count") == 0), F.lit("Relation has no members"), False),
+            (
+                (kind == "relation") & relation_type.isNotNull() & ~relation_type.isin(RELATION_TYPES),
+                F.concat(F.lit("Relation type '"), relation_type, F.lit("' is not imported")),
+                False,
+            ),
+            (
+                broken & is_area,
+                F.concat(F.lit("Way has area=yes but only "), nodes.cast("string"), F.lit(" nodes")),
+                True,
+            ),
+            (broken, F.concat(F.lit("Way has only "), nodes.cast("string"), F.lit(" node(s)")), True),
+            (F.size(reasons) == 0, F.lit("No tags match the import rules"), False),
+            (
+                ~F.array_contains(reasons, F.lit("")),
+                F.concat(F.lit("Rejected by all layers: "), F.array_join(reasons, "; ")),
+                True,
+            ),
+        ]
+        outcome = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("commentable"))
+        for condition, message, commentable in reversed(cases):
+            found = F.struct(message.alias("text"), F.lit(commentable).alias("commentable"))
+            outcome = F.when(F.coalesce(condition, F.lit(False)), found).otherwise(outcome)
+        return outcome
+
+    decided = elements.withColumn("_outcome", bind(F.coalesce(reasons, F.array().cast("array<string>")), decide))
+    return decided.withColumns(
+        {"skip_reason": F.col("_outcome.text"), "commentable": F.col("_outcome.commentable")}
+    ).drop("_outcome")
 
 
 def _reject_with_coastline(layer: str, reject: dict[str, list[str]]) -> dict[str, list[str]]:

@@ -71,18 +71,26 @@ def _(t):
     return both.select("id", "osm_id", geo.vertex_count(C("geometry")).alias("vertices"), geo.area(C("geometry")).alias("area"))
 
 
-@query("label_point_job")
+def clearance():
+    """Distance from a label to the outline of its rectangle."""
+    at, box = C("geometry.parts")[0][0][0], geo.bounds(C("outline"))
+    return F.least(at["x"] - box["xmin"], box["xmax"] - at["x"], at["y"] - box["ymin"], box["ymax"] - at["y"])
+
+
+@query("label_point_job", "rects", "SELECT id, 'point' AS gtype, TRUE AS is_centre FROM rects")
 def _(t):
-    placed = shapes.label_points(t.rects().select("id", "geometry"))
-    at = C("geometry.parts")[0][0][0]
-    return placed.select("id", at["x"].alias("x"), at["y"].alias("y"))
+    rows = t.rects().select("id", "geometry", C("geometry").alias("outline"))
+    box = geo.bounds(C("outline"))
+    width, height = box["xmax"] - box["xmin"], box["ymax"] - box["ymin"]
+    best = F.least(width, height) / 2 - F.greatest(width, height) / 1000
+    return shapes.label_points(rows).select("id", "geometry.gtype", (clearance() >= best).alias("is_centre"))
 
 
-@query("batch_udfs")
+@query("batch_udfs", "rects", "SELECT id, name, TRUE AS is_inside FROM rects")
 def _(t):
-    thin = shapes.simplify(t.rects().select("id", "name", "geometry"), 1.0, preserve=False)
-    placed = shapes.label_points(thin.filter("geometry IS NOT NULL"))
-    return placed.select("id", "name", "geometry.gtype", C("geometry.parts")[0][0][0]["x"].alias("x"))
+    thin = shapes.simplify(t.rects().select("id", "name", "geometry"), 0.5)
+    placed_ = shapes.label_points(thin.withColumn("outline", C("geometry")))
+    return placed_.select("id", "name", (clearance() > 0).alias("is_inside"))
 
 
 @query(

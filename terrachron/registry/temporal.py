@@ -16,7 +16,6 @@ from terrachron.operators.skew import (
 from terrachron.registry.base import query, sql_decimal, sql_iso, sql_priority
 
 C = F.col
-BY_START = [C("start_decdate").asc_nulls_first(), C("osm_id")]
 
 
 def rounded(*names):
@@ -24,7 +23,8 @@ def rounded(*names):
 
 
 def grouped(t):
-    return OrderedGroups(t.members(), ["status", "member"], BY_START)
+    by_start = [C("start_decdate").asc_nulls_first(), C("osm_id")]
+    return OrderedGroups(t.members(), ["status", "member"], by_start)
 
 
 _LAG = """o AS (SELECT *, lag(end_decdate) OVER (PARTITION BY status, member ORDER BY start_decdate NULLS FIRST, osm_id) AS prev_end FROM members),

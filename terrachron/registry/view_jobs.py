@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from terrachron.functions import geometry as geo
 from terrachron.operators import languages as lang
 from terrachron.plans import publish, views
+from terrachron.plans.pyramid import catalogue
 from terrachron.registry.base import query, sql_decimal
-from terrachron.registry.tags import language_layers
+from terrachron.registry.tags import _KEYS, _LANG, language_layers
 from terrachron.session import work_path
 from terrachron.sources.layers import CARRIER, COMMUNICATION
 from terrachron.sources.static import LAKE_TABLES
@@ -27,6 +30,18 @@ def measured(df):
     return decimals(df).withColumns(named).drop("geometry", "tags")
 
 
+def boxed(df):
+    return df.withColumns(geo.bounds(C("geometry")))
+
+
+def placed(labels):
+    """Does the label lie inside the box of its shape? NULL where there is no box."""
+    at = C("geometry.parts")[0][0][0]
+    inside = at["x"].between(C("xmin"), C("xmax")) & at["y"].between(C("ymin"), C("ymax"))
+    flagged = labels.withColumn("inside", inside & (C("geometry.gtype") == geo.POINT))
+    return measured(flagged).drop("xmin", "ymin", "xmax", "ymax")
+
+
 _M2 = "CAST(round(CAST(area AS DECIMAL(30,10)), 1) AS DECIMAL(20,1))"
 _KM2 = "CAST(round(CAST(CAST(area AS DECIMAL(30,10)) / 1000000 AS DECIMAL(30,10)), 1) AS DECIMAL(20,1))"
 _DATES = f"round({sql_decimal('start_date', 'start')}, 6) AS start_decdate, round({sql_decimal('end_date', 'end')}, 6) AS end_decdate"
@@ -70,22 +85,26 @@ def points(t):
     )
 
 
-@query(
-    "points_view",
-    "features",
+_POINTS = (
     f"""SELECT id, osm_id, upper(class) AS class, NULLIF(type, '') AS type, NULLIF(name, '') AS name, NULLIF(start_date, '') AS start_date, NULLIF(end_date, '') AS end_date,
-        CAST(NULL AS DOUBLE) AS area, CAST(NULL AS DECIMAL(20,1)) AS area_m2, CAST(NULL AS DECIMAL(20,1)) AS area_km2, {_DATES}, {_NAMES.format(en='name')}, CAST(NULL AS VARCHAR) AS height, 'point' AS source FROM features""",
+        CAST(NULL AS DOUBLE) AS area, CAST(NULL AS DECIMAL(20,1)) AS area_m2, CAST(NULL AS DECIMAL(20,1)) AS area_km2, {_DATES}, {_NAMES.format(en='name')}, CAST(NULL AS VARCHAR) AS height, 'point' AS source FROM features"""
 )
+
+
+@query("points_view", "features", _POINTS)
 def _(t):
     return measured(points(t))
 
 
-@query("points_centroids_view")
+@query(
+    "points_centroids_view",
+    "rects features",
+    f"""SELECT *, TRUE AS inside FROM ({_AREAS}) UNION ALL BY NAME SELECT * EXCLUDE (height), CAST(NULL AS VARCHAR) AS capital, CAST(NULL AS BOOLEAN) AS inside FROM ({_POINTS})""",
+)
 def _(t):
-    theme = points(t).drop("height").withColumn("capital", F.lit(None).cast("string"))
-    labels = views.label_view(areas(t), theme)
-    at = C("geometry.parts")[0][0][0]
-    return measured(labels.withColumns({"x": at["x"], "y": at["y"]}))
+    empty = {c: F.lit(None).cast("double") for c in ("xmin", "ymin", "xmax", "ymax")}
+    theme = points(t).drop("height").withColumns({"capital": F.lit(None).cast("string"), **empty})
+    return placed(views.label_view(boxed(areas(t)), theme))
 
 
 @query(
@@ -126,11 +145,9 @@ def _(t):
     return plain.unionByName(strict).select("id", "osm_id", "class", "type", F.round("length", 6).alias("length"), "mode")
 
 
-@query("derived_centroid_view")
+@query("derived_centroid_view", "rects", f"SELECT *, TRUE AS inside FROM ({_AREAS}) WHERE area > 60.00001")
 def _(t):
-    labels = views.derive_labels(areas(t), "area > 60")
-    at = C("geometry.parts")[0][0][0]
-    return measured(labels.withColumns({"x": at["x"], "y": at["y"]}))
+    return placed(views.derive_labels(boxed(areas(t)), "area > 60.00001"))
 
 
 @query(
@@ -147,15 +164,15 @@ def _(t):
     return decimals(view).drop("geometry", "tags", "id")
 
 
-@query("admin_centroids")
+@query(
+    "admin_centroids",
+    "rects",
+    f"""SELECT *, TRUE AS inside FROM ({_AREAS}) WHERE name IS NOT NULL AND osm_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""",
+)
 def _(t):
-    n = C("o_orderkey")
-    members = t.orders.select(
-        C("o_custkey").alias("osm_id"), F.when(n % 3 == 0, "label").otherwise("outer").alias("role"), F.lit("administrative").alias("type")
-    )
-    labels = views.admin_labels(areas(t), members)
-    at = C("geometry.parts")[0][0][0]
-    return measured(labels.withColumns({"x": at["x"], "y": at["y"]}))
+    role = F.when((C("o_orderpriority") == "1-URGENT") & (C("o_orderstatus") == "F"), "label").otherwise("outer")
+    members = t.orders.select(C("o_custkey").alias("osm_id"), role.alias("role"), F.lit("administrative").alias("type"))
+    return placed(views.admin_labels(boxed(areas(t)), members))
 
 
 def place_layers(t):
@@ -241,20 +258,24 @@ def _(t):
     return views.lakes_union(lakes(t)).drop("geometry")
 
 
-@query("land_pyramid")
-def _(t):
-    from terrachron.plans.pyramid import catalogue
+# A square vanishes once half its diagonal is below the tolerance.
+_LAND = ", ".join(f"('{v.name}', {v.tolerance})" for v in catalogue() if v.kind == "land")
 
+
+@query(
+    "land_pyramid",
+    "",
+    f"""WITH b(band, tolerance) AS (VALUES {_LAND}) SELECT band, c_custkey AS ogc_fid, 5 AS vertices FROM b, customer
+        WHERE CASE WHEN c_custkey % 4 = 0 THEN 20 ELSE 4000 END * sqrt(2) / 2 > tolerance""",
+)
+def _(t):
     land = lakes(t)[LAKE_TABLES[0]].select("ogc_fid", "geometry")
-    bands = [v for v in catalogue() if v.kind == "land"]
     parts = [
         views.land_band(land, v.tolerance).select(F.lit(v.name).alias("band"), "ogc_fid", geo.vertex_count(C("geometry")).alias("vertices"))
-        for v in bands
+        for v in catalogue()
+        if v.kind == "land"
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # ---- sinks ----
@@ -278,13 +299,26 @@ def _(t):
     return publish.duplicate_keys(t.members(), ["member", "ref"])
 
 
-@query("geojson_export")
+@query(
+    "geojson_export",
+    "tagged name_tags",
+    f"""SELECT lower(regexp_replace(k, '[:\\-]', '_', 'g')) AS alias, 'Feature' AS kind, CAST(count(*) AS VARCHAR) AS count, round(degrees(min(x) / 6378137.0), 6) AS west, round(degrees(atan(sinh(max(y) / 6378137.0))), 6) AS north
+        FROM {_KEYS} WHERE regexp_matches(k, {_LANG}) GROUP BY 1 HAVING count(*) >= 100""",
+)
 def _(t):
     table = lang.update_languages(None, lang.search_languages(language_layers(t)), 100, "2026-01-01 00:00:00")
     path = work_path(t.spark, "languages")
     publish.languages_as_geojson(table).select("feature").write.text(path)
+
+    def read(place: str):
+        return F.get_json_object("value", place)
+
     return t.spark.read.text(path).select(
-        F.get_json_object("value", "$.properties.alias").alias("alias"), C("value").alias("feature")
+        read("$.properties.alias").alias("alias"),
+        read("$.type").alias("kind"),
+        read("$.properties.count").alias("count"),
+        F.round(read("$.geometry.coordinates[0][0][0]").cast("double"), 6).alias("west"),
+        F.round(read("$.geometry.coordinates[0][2][1]").cast("double"), 6).alias("north"),
     )
 
 
