@@ -7,8 +7,6 @@ Dates stay text: a DateType before year 1 cannot be collected in Python.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 # Days before each month, and days of each month, in a common year.
@@ -18,15 +16,6 @@ DAYS_OF_MONTH = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
 PARTIAL_DATE = r"^(-?)(\d{1,4})(?:-(\d{1,2}))?(?:-(\d{1,2}))?$"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it.
-
-    Keeps the expression tree small: nested plain expressions would be copied
-    at every use.
-    """
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def is_leap(year: Column) -> Column:
     """True for leap years, also before year 1."""
     return ((F.pmod(year, F.lit(4)) == 0) & (F.pmod(year, F.lit(100)) != 0)) | (
@@ -47,37 +36,28 @@ def _first_day(text: Column) -> Column:
     body = F.ltrim(text, F.lit("-"))
     digits = F.substring_index(body, "-", 1)
     rest = F.substring(body, F.length(digits) + 1, F.lit(10))
-    year = digits.try_cast("int")
-    shifted = F.when(text.startswith("-"), 1 - year).otherwise(year)
+    before = digits.try_cast("int") - 1
+    shifted = F.concat(F.when(before > 0, "-").otherwise(""), F.lpad(F.abs(before).cast("string"), 4, "0"))
+    year = F.when(text.startswith("-") & (before >= 0), shifted).otherwise(F.lpad(digits, 4, "0"))
+    return F.when(text.rlike(PARTIAL_DATE), F.concat(year, rest).try_cast("date"))
 
-    def iso(shift: Column) -> Column:
-        sign = F.when(shift < 0, "-").otherwise("")
-        return F.concat(sign, F.lpad(F.abs(shift).cast("string"), 4, "0"), rest)
 
-    return F.when(text.rlike(PARTIAL_DATE), bind(shifted, iso).try_cast("date"))
-
-
-def _given_parts(text: Column) -> Column:
-    """1 for a year, 2 for a month, 3 for a full date."""
-    return F.size(F.split(F.ltrim(text, F.lit("-")), "-"))
+def _hyphens(text: Column) -> Column:
+    """0 for a year, 1 for a month, 2 for a full date."""
+    body = F.ltrim(text, F.lit("-"))
+    return F.length(body) - F.length(F.translate(body, "-", ""))
 
 
-def _on_day(text: Column, which: str, body: Callable[[Column, Column], Column]) -> Column:
-    """``body(text, day)`` for the first or last day of a partial date."""
-    if which not in ("start", "end"):
+def _day(text: Column, which: str) -> Column:
+    """First or last day of a partial date."""
+    first = _first_day(text)
+    if which == "start":
+        return first
+    if which != "end":
         raise ValueError("which must be 'start' or 'end'")
-
-    def last(text: Column, first: Column) -> Column:
-        parts = _given_parts(text)
-        end_of_month = F.last_day(F.add_months(first, F.when(parts == 1, 11).otherwise(0)))
-        return F.when(parts == 3, first).otherwise(end_of_month)
-
-    def with_text(text: Column) -> Column:
-        first = _first_day(text)
-        day = first if which == "start" else bind(first, lambda f: last(text, f))
-        return bind(day, lambda d: body(text, d))
-
-    return bind(text, with_text)
+    hyphens = _hyphens(text)
+    month = F.add_months(first, F.when(hyphens == 0, 11).otherwise(0))
+    return F.when(hyphens == 2, first).otherwise(F.last_day(month))
 
 
 def _month_and_day(day: Column) -> Column:
@@ -87,29 +67,26 @@ def _month_and_day(day: Column) -> Column:
 
 def pad_date(text: Column, which: str) -> Column:
     """Complete ``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD`` to its first or last day."""
-
-    def padded(text: Column, day: Column) -> Column:
-        sign = F.when(text.startswith("-"), "-").otherwise("")
-        digits = F.substring_index(F.ltrim(text, F.lit("-")), "-", 1)
-        return F.concat(sign, F.lpad(digits, 4, "0"), _month_and_day(day))
-
-    return _on_day(text, which, padded)
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    digits = F.substring_index(F.ltrim(text, F.lit("-")), "-", 1)
+    return F.concat(sign, F.lpad(digits, 4, "0"), _month_and_day(_day(text, which)))
 
 
 def _decimal(day: Column) -> Column:
     """A date as a decimal year, at the middle of the day."""
-    year = F.year(day)
-    return year + (F.dayofyear(day) - F.lit(0.5)) / days_in_year(year)
+    # The day 365 days after New Year is the 366th of a leap year, else the first.
+    last = F.dayofyear(F.date_add(F.trunc(day, "year"), 365))
+    return F.year(day) + (F.dayofyear(day) - F.lit(0.5)) / F.when(last == 366, 366).otherwise(365)
 
 
 def iso_to_decimal(text: Column) -> Column:
     """A full ISO date as a decimal year, at the middle of its day."""
-    return _on_day(text, "start", lambda t, day: F.when(_given_parts(t) == 3, _decimal(day)))
+    return F.when(_hyphens(text) == 2, _decimal(_first_day(text)))
 
 
 def to_decimal(text: Column, which: str) -> Column:
     """``iso_to_decimal(pad_date(text, which))`` in one step."""
-    return _on_day(text, which, lambda _, day: _decimal(day))
+    return _decimal(_day(text, which))
 
 
 def year_text(year: Column) -> Column:
@@ -121,24 +98,17 @@ def year_text(year: Column) -> Column:
 
 def decimal_to_iso(value: Column) -> Column:
     """A decimal year as ISO text; NULL outside the years that fit four digits."""
-
-    def from_year(value: Column, year: Column) -> Column:
-        ordinal = F.greatest(F.ceil((value - year) * days_in_year(year)).cast("int"), F.lit(1))
-        first = F.when(is_leap(year), F.lit("2000-01-01")).otherwise(F.lit("2001-01-01"))
-        month_day = _month_and_day(F.date_add(first.cast("date"), ordinal - 1))
-        return F.when(value.between(-9998, 9999.999999), F.concat(year_text(year), month_day))
-
-    return bind(value, lambda v: bind(F.floor(v).cast("int"), lambda year: from_year(v, year)))
+    year = F.floor(value).cast("int")
+    ordinal = F.greatest(F.ceil((value - year) * days_in_year(year)).cast("int"), F.lit(1))
+    first = F.when(is_leap(year), F.lit("2000-01-01")).otherwise(F.lit("2001-01-01"))
+    month_day = _month_and_day(F.date_add(first.cast("date"), ordinal - 1))
+    return F.when(value.between(-9998, 9999.999999), F.concat(year_text(year), month_day))
 
 
 def valid_date(text: Column) -> Column:
     """True for a real date written as YYYY-MM-DD, YYYY-MM or YYYY."""
-
-    def valid(text: Column) -> Column:
-        strict = text.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$") & ~text.startswith("0000")
-        return F.coalesce(strict & _first_day(text).isNotNull(), F.lit(False))
-
-    return bind(text, valid)
+    strict = text.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$") & ~text.startswith("0000")
+    return F.coalesce(strict & _first_day(text).isNotNull(), F.lit(False))
 
 
 def valid_at(start: Column, end: Column, moment: float) -> Column:

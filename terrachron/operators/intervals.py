@@ -131,6 +131,7 @@ def join_overlapping(
         }
     )
     both = marks.unionByName(spans, allowMissingColumns=True)
+    hot = hot or HotGroups(both, [key])
     is_segment = F.lit(1) - F.col("_is_range")
     # Segments closed at or before the start of the range: the first overlap is the next one.
     closed = OrderedGroups(both, [key], [F.col("_closes"), F.col("_is_range")], hot)

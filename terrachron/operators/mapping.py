@@ -6,9 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from terrachron.functions.dates import bind
 from terrachron.functions.geometry import area, broken_way
-from terrachron.functions.text import drop_tags, empty_to_null, tag
+from terrachron.functions.text import bind, drop_tags, empty_to_null, tag
 from terrachron.operators.skew import attach
 from terrachron.sources.layers import (
     ANY,

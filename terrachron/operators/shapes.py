@@ -15,51 +15,58 @@ from pyspark.sql import DataFrame, types as T
 from terrachron.functions.geometry import GEOMETRY
 
 
-def _kept_vertices(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Mask of the vertices that stay under distance-based thinning."""
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices first[i] .. first[i] + count[i] - 1 of all ranges, and the range of each index."""
+    owner = np.repeat(np.arange(len(count)), count)
+    begin = np.cumsum(count) - count
+    return np.arange(len(owner)) - begin[owner] + first[owner], owner
+
+
+def _kept_vertices(
+    x: np.ndarray, y: np.ndarray, begin: np.ndarray, end: np.ndarray, tolerance: float, rounds: int | None = None
+) -> np.ndarray:
+    """Mask of the vertices that stay under distance-based thinning.
+
+    ``begin`` and ``end`` bound the rings in the flat coordinates; all rings of a
+    batch are halved together. With ``rounds`` every span is split that often
+    whatever its distance.
+    """
     keep = np.zeros(len(x), dtype=bool)
-    keep[[0, -1]] = True
-    pending = [(0, len(x) - 1)]
-    while pending:
-        first, last = pending.pop()
-        if last - first < 2:
-            continue
-        px, py = x[first + 1 : last] - x[first], y[first + 1 : last] - y[first]
+    full = end > begin
+    keep[begin[full]] = True
+    keep[end[full] - 1] = True
+    first, last = begin[full], end[full] - 1
+    while rounds is None or rounds > 0:
+        inner = last - first > 1
+        first, last = first[inner], last[inner]
+        if not len(first):
+            break
+        at, span = _ranges(first + 1, last - first - 1)
         dx, dy = x[last] - x[first], y[last] - y[first]
         square = dx * dx + dy * dy
-        if square == 0.0:
-            distance = np.hypot(px, py)
-        else:
-            along = np.clip((px * dx + py * dy) / square, 0.0, 1.0)
-            distance = np.hypot(px - along * dx, py - along * dy)
-        far = int(distance.argmax())
-        if distance[far] > tolerance:
-            middle = first + 1 + far
-            keep[middle] = True
-            pending += [(first, middle), (middle, last)]
+        safe = np.where(square == 0.0, 1.0, square)
+        px, py = x[at] - x[first][span], y[at] - y[first][span]
+        along = np.clip((px * dx[span] + py * dy[span]) / safe[span], 0.0, 1.0)
+        distance = np.hypot(px - along * dx[span], py - along * dy[span])
+        heads = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])
+        farthest = np.maximum.reduceat(distance, heads)
+        # First vertex of each span that reaches its largest distance.
+        reached = np.flatnonzero(distance == farthest[span])
+        middle = at[reached[np.r_[True, span[reached][1:] != span[reached][:-1]]]]
+        split = np.ones(len(first), dtype=bool) if rounds is not None else farthest > tolerance
+        middle, first, last = middle[split], first[split], last[split]
+        keep[middle] = True
+        first, last = np.concatenate([first, middle]), np.concatenate([middle, last])
+        if rounds is not None:
+            rounds -= 1
     return keep
 
 
-def _thin_ring(x, y, tolerance: float, closed: bool, preserve: bool) -> np.ndarray | None:
-    """Indices to keep, or None when a plain ring collapses."""
-    if len(x) <= (4 if closed and preserve else 2):
-        return np.arange(len(x))
-    kept = np.flatnonzero(_kept_vertices(x, y, tolerance))
-    if not closed or len(kept) >= 4:
-        return kept
-    if not preserve:
-        return None
-    # A kept ring needs four vertices: add those farthest from the start.
-    order = np.argsort(-np.hypot(x - x[0], y - y[0]), kind="stable")
-    extra = [i for i in order if i not in set(kept)][: 4 - len(kept)]
-    return np.sort(np.concatenate([kept, extra]).astype(int))
-
-
 class _Coordinates:
     """Flat view of one geometry column."""
 
     def __init__(self, column: pa.StructArray):
-        self.kinds = column.field("gtype").to_pylist()
+        self.kinds = column.field("gtype")
         self.valid = column.is_valid().to_numpy(zero_copy_only=False)
         parts = column.field("parts")
         self.part_at = parts.offsets.to_numpy()
@@ -69,42 +76,65 @@ class _Coordinates:
         self.vertex_at = vertices.offsets.to_numpy()
         self.x = vertices.values.field("x").to_numpy(zero_copy_only=False)
         self.y = vertices.values.field("y").to_numpy(zero_copy_only=False)
+        names = np.array(self.kinds.to_pylist(), dtype=object)
+        self.is_area = np.array([k is not None and k.endswith("polygon") for k in names], dtype=bool)
+        # Owner of each ring and part.
+        self.ring_part = np.repeat(np.arange(len(self.ring_at) - 1), np.diff(self.ring_at))
+        self.part_row = np.repeat(np.arange(len(self.part_at) - 1), np.diff(self.part_at))
 
-    def rings_of_part(self, part: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [
-            (self.x[a:b], self.y[a:b])
-            for a, b in (
-                (self.vertex_at[r], self.vertex_at[r + 1])
-                for r in range(self.ring_at[part], self.ring_at[part + 1])
-            )
-        ]
-
-    def parts_of_row(self, row: int) -> range:
-        return range(self.part_at[row], self.part_at[row + 1])
-
-
-def _geometry_array(kinds: list, rows: list) -> pa.Array:
-    """Rows are None or part lists of ring lists of (x, y) arrays."""
-    part_at, ring_at, vertex_at, xs, ys = [0], [0], [0], [], []
-    for parts in rows:
-        for rings in parts or []:
-            for x, y in rings:
-                xs.append(x)
-                ys.append(y)
-                vertex_at.append(vertex_at[-1] + len(x))
-            ring_at.append(ring_at[-1] + len(rings))
-        part_at.append(part_at[-1] + len(parts or []))
-    empty = np.zeros(0)
-    vertices = pa.StructArray.from_arrays(
-        [pa.array(np.concatenate(xs) if xs else empty), pa.array(np.concatenate(ys) if ys else empty)],
-        names=["x", "y"],
-    )
-    rings = pa.ListArray.from_arrays(pa.array(vertex_at, pa.int32()), vertices)
-    parts = pa.ListArray.from_arrays(pa.array(ring_at, pa.int32()), rings)
-    column = pa.ListArray.from_arrays(pa.array(part_at, pa.int32()), parts)
-    missing = pa.array([r is None for r in rows], pa.bool_())
+
+def _offsets(counts: np.ndarray) -> pa.Array:
+    return pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.int32())
+
+
+def _geometry_array(kinds, valid, parts_per_row, rings_per_part, vertices_per_ring, x, y) -> pa.Array:
+    """A geometry column from counts and flat coordinates."""
+    vertices = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+    rings = pa.ListArray.from_arrays(_offsets(vertices_per_ring), vertices)
+    parts = pa.ListArray.from_arrays(_offsets(rings_per_part), rings)
+    column = pa.ListArray.from_arrays(_offsets(parts_per_row), parts)
     return pa.StructArray.from_arrays(
-        [pa.array(kinds, pa.string()), column], names=["gtype", "parts"], mask=missing
+        [kinds, column], names=["gtype", "parts"], mask=pa.array(~valid, pa.bool_())
+    )
+
+
+def _count(owner: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(owner, minlength=size)
+
+
+def _thinned(shapes: _Coordinates, tolerance: float, preserve: bool) -> pa.Array:
+    begin, end = shapes.vertex_at[:-1].astype(np.int64), shapes.vertex_at[1:].astype(np.int64)
+    closed = shapes.is_area[shapes.part_row[shapes.ring_part]]
+    keep = _kept_vertices(shapes.x, shapes.y, begin, end, tolerance)
+    ring_of = np.repeat(np.arange(len(begin)), end - begin)
+
+    def kept_per_ring() -> np.ndarray:
+        return np.bincount(ring_of, weights=keep, minlength=len(begin)).astype(np.int64)
+
+    collapsed = closed & (kept_per_ring() < 4)
+    ring_stays = np.ones(len(begin), dtype=bool)
+    if preserve:
+        # Keep the outline by its extreme vertices: two rounds of splits give four corners.
+        keep |= _kept_vertices(shapes.x, shapes.y, begin[collapsed], end[collapsed], 0.0, rounds=2)
+        part_stays = np.ones(len(shapes.part_row), dtype=bool)
+    else:
+        ring_stays = ~collapsed
+        shell = shapes.ring_at[:-1]
+        has_ring = np.diff(shapes.ring_at) > 0
+        part_stays = np.zeros(len(shapes.part_row), dtype=bool)
+        part_stays[has_ring] = ring_stays[shell[has_ring]]
+        ring_stays &= part_stays[shapes.ring_part]
+    keep &= ring_stays[ring_of]
+    parts_per_row = _count(shapes.part_row[part_stays], len(shapes.valid))
+    valid = shapes.valid & ((parts_per_row > 0) | (np.diff(shapes.part_at) == 0))
+    return _geometry_array(
+        shapes.kinds,
+        valid,
+        parts_per_row,
+        _count(shapes.ring_part[ring_stays], len(part_stays))[part_stays],
+        kept_per_ring()[ring_stays],
+        shapes.x[keep],
+        shapes.y[keep],
     )
 
 
@@ -136,87 +166,110 @@ def simplify(
     if tolerance <= 0:
         return df
 
-    def work(shapes: _Coordinates) -> pa.Array:
-        rows = []
-        for row, kind in enumerate(shapes.kinds):
-            if not shapes.valid[row]:
-                rows.append(None)
-                continue
-            closed = kind is not None and kind.endswith("polygon")
-            parts = []
-            for part in shapes.parts_of_row(row):
-                rings = []
-                for at, (x, y) in enumerate(shapes.rings_of_part(part)):
-                    kept = _thin_ring(x, y, tolerance, closed, preserve)
-                    if kept is not None:
-                        rings.append((x[kept], y[kept]))
-                    elif at == 0:
-                        break
-                if rings:
-                    parts.append(rings)
-            rows.append(parts or None)
-        return _geometry_array(shapes.kinds, rows)
+    return _with_geometry(df, column, lambda shapes: _thinned(shapes, tolerance, preserve))
+
+
+PAIRS = 4_000_000
+
+
+class _Outlines:
+    """Polygon parts of a batch with their edges in flat arrays."""
+
+    def __init__(self, shapes: _Coordinates):
+        areas = shapes.valid & shapes.is_area
+        self.parts = np.flatnonzero(areas[shapes.part_row] & (np.diff(shapes.ring_at) > 0))
+        self.rows = shapes.part_row[self.parts]
+        rings, part = _ranges(shapes.ring_at[self.parts], np.diff(shapes.ring_at)[self.parts])
+        begin, end = shapes.vertex_at[rings], shapes.vertex_at[rings + 1]
+        at, ring = _ranges(begin, np.maximum(end - begin - 1, 0))
+        self.ax, self.ay = shapes.x[at], shapes.y[at]
+        self.bx, self.by = shapes.x[at + 1], shapes.y[at + 1]
+        self.count = _count(part[ring], len(self.parts))
+        self.first = np.cumsum(self.count) - self.count
+        shell = shapes.ring_at[self.parts]
+        at, owner = _ranges(shapes.vertex_at[shell], np.diff(shapes.vertex_at)[shell])
+        heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
+        x, y = shapes.x[at], shapes.y[at]
+        self.left, self.bottom = np.minimum.reduceat(x, heads), np.minimum.reduceat(y, heads)
+        self.width = np.maximum.reduceat(x, heads) - self.left
+        self.height = np.maximum.reduceat(y, heads) - self.bottom
+        self.start_x, self.start_y = x[heads], y[heads]
+
+    def distance(self, part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Signed distance of each point to the outline of its part; positive inside."""
+        result = np.empty(len(part))
+        begin = 0
+        while begin < len(part):
+            total = np.cumsum(self.count[part[begin:]])
+            stop = begin + max(1, int(np.searchsorted(total, PAIRS)))
+            result[begin:stop] = self._block(part[begin:stop], x[begin:stop], y[begin:stop])
+            begin = stop
+        return result
+
+    def _block(self, part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        edge, point = _ranges(self.first[part], self.count[part])
+        heads = np.cumsum(self.count[part]) - self.count[part]
+        ax, ay, bx, by = self.ax[edge], self.ay[edge], self.bx[edge], self.by[edge]
+        dx, dy, px, py = bx - ax, by - ay, x[point], y[point]
+        square = dx * dx + dy * dy
+        along = np.clip(((px - ax) * dx + (py - ay) * dy) / np.where(square == 0, 1.0, square), 0.0, 1.0)
+        distance = np.hypot(px - ax - along * dx, py - ay - along * dy)
+        crosses = (ay > py) != (by > py)
+        crosses &= px < ax + (py - ay) * dx / np.where(dy == 0, 1.0, dy)
+        inside = np.add.reduceat(crosses.astype(np.int64), heads) % 2 == 1
+        nearest = np.minimum.reduceat(distance, heads)
+        return np.where(inside, nearest, -nearest)
 
-    return _with_geometry(df, column, work)
 
+def _best(part: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts that occur, and the position of the largest distance of each."""
+    order = np.lexsort((-distance, part))
+    heads = np.r_[True, part[order][1:] != part[order][:-1]]
+    return part[order][heads], order[heads]
 
-def _edges(rings) -> tuple[np.ndarray, ...]:
-    starts = [(x[:-1], y[:-1], x[1:], y[1:]) for x, y in rings]
-    return tuple(np.concatenate(c) for c in zip(*starts))
-
-
-def _signed_distance(px, py, edges, block: int = 2_000_000) -> np.ndarray:
-    """Distance to the outline; positive inside."""
-    ax, ay, bx, by = edges
-    result = np.empty(len(px))
-    step = max(1, block // max(1, len(ax)))
-    dx, dy = bx - ax, by - ay
-    square = np.where(dx * dx + dy * dy == 0, 1.0, dx * dx + dy * dy)
-    for at in range(0, len(px), step):
-        x, y = px[at : at + step, None], py[at : at + step, None]
-        along = np.clip(((x - ax) * dx + (y - ay) * dy) / square, 0.0, 1.0)
-        distance = np.hypot(x - ax - along * dx, y - ay - along * dy).min(axis=1)
-        crosses = (ay > y) != (by > y)
-        height = np.where(dy == 0, 1.0, dy)
-        inside = (crosses & (x < ax + (y - ay) * dx / height)).sum(axis=1) % 2 == 1
-        result[at : at + step] = np.where(inside, distance, -distance)
-    return result
-
-
-def _label_point(rings, precision: float | None) -> tuple[float, float, float]:
-    """Point of one polygon part that is farthest from its outline, and that distance."""
-    x, y = rings[0]
-    left, bottom = x.min(), y.min()
-    width, height = x.max() - left, y.max() - bottom
-    if width == 0 or height == 0:
-        return float(x[0]), float(y[0]), 0.0
-    edges = _edges(rings)
-    accuracy = precision or max(width, height) / 1000.0
-    half = min(width, height) / 2
-    cx, cy = np.meshgrid(
-        np.arange(left + half, left + width + half, 2 * half),
-        np.arange(bottom + half, bottom + height + half, 2 * half),
-    )
-    cx, cy = cx.ravel(), cy.ravel()
-    # Centre of mass of the shell edges as a first guess, beside the grid.
-    guess_x, guess_y = np.append(cx, x[:-1].mean()), np.append(cy, y[:-1].mean())
-    distance = _signed_distance(guess_x, guess_y, edges)
-    best = int(distance.argmax())
-    best_at = (guess_x[best], guess_y[best], distance[best])
-    distance = distance[:-1]
-    while len(cx):
-        open_cells = distance + half * np.sqrt(2.0) > best_at[2] + accuracy
-        cx, cy = cx[open_cells], cy[open_cells]
-        half /= 2
-        cx = np.concatenate([cx - half, cx + half, cx - half, cx + half])
-        cy = np.concatenate([cy - half, cy - half, cy + half, cy + half])
-        if not len(cx):
-            break
-        distance = _signed_distance(cx, cy, edges)
-        best = int(distance.argmax())
-        if distance[best] > best_at[2]:
-            best_at = (cx[best], cy[best], distance[best])
-    return tuple(float(v) for v in best_at)
+
+def _label_points(
+    shapes: _Coordinates, precision: float | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre of the largest inscribed circle of each polygon, all of a batch together.
+
+    Square cells cover each part; a cell is split into four while it can still
+    hold a better point than the best so far.
+    """
+    outlines = _Outlines(shapes)
+    size = len(outlines.parts)
+    best_x, best_y = outlines.start_x.copy(), outlines.start_y.copy()
+    best = np.zeros(size)
+    flat = (outlines.width == 0) | (outlines.height == 0)
+    accuracy = np.maximum(outlines.width, outlines.height) / 1000.0
+    if precision:
+        accuracy[:] = precision
+    half = np.where(flat, 1.0, np.minimum(outlines.width, outlines.height) / 2)
+    columns = np.where(flat, 0, np.ceil(outlines.width / (2 * half))).astype(np.int64)
+    lines = np.where(flat, 0, np.ceil(outlines.height / (2 * half))).astype(np.int64)
+    cell, part = _ranges(np.zeros(size, np.int64), columns * lines)
+    columns = np.maximum(columns, 1)
+    x = outlines.left[part] + half[part] * (1 + 2 * (cell % columns[part]))
+    y = outlines.bottom[part] + half[part] * (1 + 2 * (cell // columns[part]))
+    best[~flat] = -np.inf
+    while len(part):
+        distance = outlines.distance(part, x, y)
+        found, at = _best(part, distance)
+        better = distance[at] > best[found]
+        found, at = found[better], at[better]
+        best[found], best_x[found], best_y[found] = distance[at], x[at], y[at]
+        reach = distance + half[part] * np.sqrt(2.0)
+        open_cells = reach > best[part] + accuracy[part]
+        # No circle is wider than the shorter side of the envelope.
+        open_cells &= best[part] + accuracy[part] < np.minimum(outlines.width, outlines.height)[part] / 2
+        part, x, y = part[open_cells], x[open_cells], y[open_cells]
+        half = half / 2
+        step = half[part]
+        part = np.tile(part, 4)
+        x = np.concatenate([x - step, x + step, x - step, x + step])
+        y = np.concatenate([y - step, y - step, y + step, y + step])
+    rows, at = _best(outlines.rows, best) if size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return rows, best_x[at], best_y[at]
 
 
 def label_points(df: DataFrame, column: str = "geometry", precision: float | None = None) -> DataFrame:
@@ -227,20 +280,30 @@ def label_points(df: DataFrame, column: str = "geometry", precision: float | Non
     """
 
     def work(shapes: _Coordinates) -> pa.Array:
-        kinds, rows = [], []
-        for row, kind in enumerate(shapes.kinds):
-            if not shapes.valid[row]:
-                kinds.append(None)
-                rows.append(None)
-                continue
-            parts = [shapes.rings_of_part(p) for p in shapes.parts_of_row(row)]
-            if kind is None or not kind.endswith("polygon"):
-                kinds.append(kind)
-                rows.append(parts)
-                continue
-            x, y, _ = max((_label_point(r, precision) for r in parts), key=lambda v: v[2])
-            kinds.append("point")
-            rows.append([[(np.array([x]), np.array([y]))]])
-        return _geometry_array(kinds, rows)
+        rows, x, y = _label_points(shapes, precision)
+        is_label = np.zeros(len(shapes.valid), dtype=bool)
+        is_label[rows] = True
+        kinds = np.array(shapes.kinds.to_pylist(), dtype=object)
+        kinds[is_label] = "point"
+        # Labels count as one part with one ring and one vertex; the rest is copied.
+        part_stays = ~is_label[shapes.part_row]
+        ring_stays = part_stays[shapes.ring_part]
+        ring_of = np.repeat(np.arange(len(shapes.ring_part)), np.diff(shapes.vertex_at))
+        vertex_stays = ring_stays[ring_of]
+        part_row = np.r_[shapes.part_row[part_stays], rows]
+        rings = np.r_[np.diff(shapes.ring_at)[part_stays], np.ones(len(rows), np.int64)]
+        ring_row = np.r_[shapes.part_row[shapes.ring_part[ring_stays]], rows]
+        vertices = np.r_[np.diff(shapes.vertex_at)[ring_stays], np.ones(len(rows), np.int64)]
+        vertex_row = np.r_[shapes.part_row[shapes.ring_part[ring_of[vertex_stays]]], rows]
+        by_part, by_ring, by_vertex = (np.argsort(r, kind="stable") for r in (part_row, ring_row, vertex_row))
+        return _geometry_array(
+            pa.array(kinds, pa.string()),
+            shapes.valid,
+            _count(part_row, len(shapes.valid)),
+            rings[by_part],
+            vertices[by_ring],
+            np.r_[shapes.x[vertex_stays], x][by_vertex],
+            np.r_[shapes.y[vertex_stays], y][by_vertex],
+        )
 
     return _with_geometry(df, column, work)

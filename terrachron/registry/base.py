@@ -95,7 +95,7 @@ class Tables:
         date = F.col("o_orderdate").cast("date")
         start = F.when(n % 17 != 0, date.cast("string"))
         end = F.when(n % 13 != 0, F.date_add(date, (n % 400).cast("int")).cast("string"))
-        return o.select(
+        rows = o.select(
             n.alias("osm_id"),
             F.col("o_custkey").alias("member"),
             F.col("o_orderstatus").alias("status"),
@@ -104,10 +104,14 @@ class Tables:
             _pick(NETWORKS, (n % 6).cast("int")).alias("network"),
             start.alias("start_date"),
             end.alias("end_date"),
-            dates.to_decimal(start, "start").alias("start_decdate"),
-            dates.to_decimal(end, "end").alias("end_decdate"),
             F.col("o_totalprice").alias("price"),
         )
+        return rows.withColumns(
+            {
+                "start_decdate": dates.to_decimal(F.col("start_date"), "start"),
+                "end_decdate": dates.to_decimal(F.col("end_date"), "end"),
+            }
+        )
 
     def route_rows(self) -> DataFrame:
         """Members as routes on ways; the price takes the place of the geometry."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrachron.functions import dates, geometry as geo, text
 from terrachron.operators import intervals, relational as rel
 from terrachron.operators.routes import set_hash
-from terrachron.operators.skew import first_per_key, paged_lists
+from terrachron.operators.skew import HotGroups, first_per_key, group_rows, paged_lists
 from terrachron.registry.base import query, sql_decimal
 
 C = F.col
@@ -291,8 +291,10 @@ def _(t):
 )
 def _(t):
     m = t.members().select("member", "osm_id", "start_decdate", "end_decdate")
-    segments = intervals.cut_segments(m, "member")
-    pairs = intervals.join_overlapping(segments, m, "member")
+    # A member has at most twice as many segments as ranges.
+    hot = HotGroups(m, ["member"], group_rows(m) // 2)
+    segments = intervals.cut_segments(m, "member", hot=hot)
+    pairs = intervals.join_overlapping(segments, m, "member", hot=hot)
     return pairs.select("member", "osm_id", F.round("seg_start", 6).alias("seg_start"), F.round("seg_end", 6).alias("seg_end"))
 
 

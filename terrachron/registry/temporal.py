@@ -14,6 +14,7 @@ from terrachron.operators.skew import (
     top_per_key,
 )
 from terrachron.registry.base import query, sql_decimal, sql_iso, sql_priority
+from terrachron.session import materialize
 
 C = F.col
 
@@ -232,7 +233,8 @@ def boundary_inputs(t):
 )
 def _(t):
     members, lines = boundary_inputs(t)
-    combined = boundaries.relations_and_ways(boundaries.merge_members(members), lines)
+    merged = materialize(boundaries.merge_members(members), "boundary-members")
+    combined = boundaries.relations_and_ways(merged, lines)
     view = boundaries.boundary_lines(combined).drop("geometry", "type")
     return view.withColumns({c: F.round(c, 6) for c in ("start_decdate", "end_decdate")})
 
@@ -291,11 +293,12 @@ _PERIODS = f"""cut AS (SELECT DISTINCT way_id, unnest([start_decdate, end_decdat
 
 def normalized(t):
     rows = t.route_rows()
-    # Every fifth way has its dates removed, so both branches have work.
-    undated = C("way_id") % 5 == 0
-    return rows.withColumns(
-        {c: F.when(~undated, C(c)) for c in ("start_decdate", "end_decdate")}
-    )
+    # Every fifth way has its dates removed, so both branches have work. Adding NULL
+    # keeps the date expressions out of a conditional, where they would be repeated.
+    blank = F.when(C("way_id") % 5 != 0, 0.0)
+    dated = rows.withColumns({c: C(c) + blank for c in ("start_decdate", "end_decdate")})
+    # A layer table is written once at load, with its decimal dates.
+    return materialize(dated, "route-rows")
 
 
 def _periods_sql(tail: str) -> str:
