@@ -21,7 +21,7 @@ from terrachron.sources.layers import (
 )
 
 RULE_SCHEMA = (
-    "layer string, geometry string, tag_key string, accepted array<string>, "
+    "layer string, shape string, tag_key string, accepted array<string>, "
     "excluded array<string>, reject map<string,array<string>>, element_types array<string>"
 )
 
@@ -68,7 +68,8 @@ def map_elements(
 ) -> DataFrame:
     """Elements with the layers that take them; an element may come out several times.
 
-    Adds ``layer``, ``class`` (the matched key) and ``type_value`` (its value).
+    Adds ``layer`` and its ``shape``, ``class`` (the matched key) and ``type_value``
+    (its value).
     """
     # The rule table has a fixed size, so the tag rows stay where they are.
     rules = F.broadcast(rule_table(elements.sparkSession, layers))

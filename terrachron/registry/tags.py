@@ -61,7 +61,7 @@ def _(t):
 @query("tag_mapping_scan", "tag_rows", _mapped_sql())
 def _(t):
     mapped = mapping.map_elements(t.tagged())
-    return mapped.select("osm_id", "type", "layer", "geometry", "class", "type_value")
+    return mapped.select("osm_id", "type", "layer", C("shape").alias("geometry"), "class", "type_value")
 
 
 CHOSEN = ["water_areas", "water_lines", "place_points", "no_such_layer"]
@@ -72,7 +72,7 @@ def _(t):
     from terrachron.plans.publish import open_view, publish
 
     mapped = mapping.map_elements(t.tagged(), CHOSEN)
-    rows = mapped.select("osm_id", "type", "layer", "geometry", "class", "type_value")
+    rows = mapped.select("osm_id", "type", "layer", C("shape").alias("geometry"), "class", "type_value")
     root = work_path(t.spark, "backfill")
     publish(rows, root, "water_and_places", ["osm_id", "layer", "class"])
     return open_view(t.spark, root, "water_and_places")

@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from terrachron.functions.geometry import GEOMETRY
 from terrachron.operators import intervals, languages, mapping, override, relational, routes, skew
@@ -126,7 +126,8 @@ def street_case(spark, relation_name):
     street = {**blank, "id": 2, "osm_id": -5000, "member": 100, "geometry": LINE, "name": relation_name, "highway": "", "start_date": "1984", "end_date": "", "tags": {"name": "rel"}}
 
     def frame(like, row):
-        return spark.createDataFrame([tuple(row[c] for c in like.columns)], like.schema)
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in like.schema])
+        return spark.createDataFrame([tuple(row[c] for c in like.columns)], schema)
 
     return override.override_lines(frame(ways, way), frame(streets, street), relations.limit(0))
 
