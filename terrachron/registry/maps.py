@@ -96,17 +96,18 @@ def _(t):
 @query(
     "project_coords",
     "features",
-    """SELECT id, round(x, 4) AS x, round(y, 4) AS y, round(degrees(x / 6378137.0), 6) AS lon, round(degrees(atan(sinh(y / 6378137.0))), 6) AS lat FROM features""",
+    """SELECT id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(degrees(x / 6378137.0), 6) + 0.0 AS lon, round(degrees(atan(sinh(y / 6378137.0))), 6) + 0.0 AS lat FROM features""",
 )
 def _(t):
     x, y = geo.to_metres(C("lon"), C("lat"))
     back = geo.to_degrees(C("x"), C("y"))
     return t.features().select(
         "id",
-        F.round(x, 4).alias("x"),
-        F.round(y, 4).alias("y"),
-        F.round(back[0], 6).alias("lon"),
-        F.round(back[1], 6).alias("lat"),
+        # Adding zero turns a negative zero into a plain one.
+        (F.round(x, 4) + 0.0).alias("x"),
+        (F.round(y, 4) + 0.0).alias("y"),
+        (F.round(back[0], 6) + 0.0).alias("lon"),
+        (F.round(back[1], 6) + 0.0).alias("lat"),
     )
 
 
@@ -158,13 +159,13 @@ def _(t):
     "tile_envelope",
     "features",
     f"""WITH p AS (SELECT id, CAST(id % 17 + 4 AS INTEGER) AS z, lon, lat FROM features), q AS (SELECT id, z, {sql_tx('lon', 'z')} AS x, {sql_ty('lat', 'z')} AS y, 2 * {HALF} / pow(2.0, z) AS size FROM p)
-        SELECT id, z, round(x * size - {HALF}, 4) AS xmin, round({HALF} - y * size - size, 4) AS ymin, round(x * size - {HALF} + size, 4) AS xmax, round({HALF} - y * size, 4) AS ymax FROM q""",
+        SELECT id, z, round(x * size - {HALF}, 4) + 0.0 AS xmin, round({HALF} - y * size - size, 4) + 0.0 AS ymin, round(x * size - {HALF} + size, 4) + 0.0 AS xmax, round({HALF} - y * size, 4) + 0.0 AS ymax FROM q""",
 )
 def _(t):
     z = (C("id") % 17 + 4).cast("int")
     rows = t.features().select("id", z.alias("z"), "lon", "lat")
     box = tiles.tile_bounds(C("z"), tiles.tile_x(C("lon"), C("z")), tiles.tile_y(C("lat"), C("z")))
-    return rows.select("id", "z", *[F.round(v, 4).alias(k) for k, v in box.items()])
+    return rows.select("id", "z", *[(F.round(v, 4) + 0.0).alias(k) for k, v in box.items()])
 
 
 def _band_values() -> str:
