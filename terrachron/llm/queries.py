@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrachron.llm import bpe, packing, simhash, substring
+from terrachron.llm import bpe, lines, packing, quality, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,14 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring.deduplicate(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op1_quality_rules", quality.sql())
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.measure(table(spark, folder, "documents")).drop("clean_text")
+
+
+@query("op5_line_dedup", lines.sql())
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.deduplicate(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
