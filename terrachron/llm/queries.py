@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrachron.llm import bpe, lines, packing, quality, simhash, substring
+from terrachron.llm import bpe, common, language, lines, packing, quality, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +63,13 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.deduplicate(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.train(docs.where(~common.held_out("doc_id")))
+    found = language.spans(docs, model)
+    return found.select(
+        "doc_id", common.held_out("doc_id").alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("spans").alias("n_spans")
+    )
