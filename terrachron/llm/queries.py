@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrachron.llm import bpe, common, language, lines, packing, quality, simhash, substring
+from terrachron.llm import bpe, common, language, lines, packing, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", common.held_out("doc_id").alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("spans").alias("n_spans")
     )
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    parameters = toxicity.train(docs.where(~common.held_out("doc_id")), labels.where(~common.held_out("doc_id")))
+    found = toxicity.score(docs, parameters)
+    return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", "predicted", "n_windows")
