@@ -86,8 +86,22 @@ def runs(hashes: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tupl
     return number, begin - base[number], count, spot - begin, gram[spot].view(np.int64), passage.view(np.int64)
 
 
+def copies_here(gram: np.ndarray, passage: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows whose passage also has an earlier row among these."""
+    order = np.lexsort([start, doc, passage, gram])
+    same = (np.diff(gram[order]) == 0) & (np.diff(passage[order]) == 0)
+    head = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0)) if len(order) else order
+    first = order[head]
+    return order[(doc[order] != doc[first]) | (start[order] != start[first])]
+
+
 def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """One row for each run of windows: ``anchor, passage, doc_id, start, windows, place``."""
+    """One row for each run of windows: ``anchor, passage, doc_id, start, shape``.
+
+    Copies of a passage within a slice of text are combined before the shuffle: all but the first
+    are known to be later copies. They get a negative shape and, instead of the anchor,
+    a key that spreads them, so that a very frequent anchor brings few rows together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -98,9 +112,13 @@ def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             ends = np.cumsum([len(w) for w in words])
             hashes = np.fromiter((known[w] for row in words for w in row), np.uint64, int(ends[-1]) if len(ends) else 0)
             number, start, windows, place, gram, passage = runs(hashes, ends, length, anchor)
-            ids = part.column("doc_id").take(pa.array(number, pa.int64()))
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[number]
+            shape = windows * 64 + place
+            later = copies_here(gram, passage, ids, start)
+            gram[later] = mix(ids[later].astype(np.uint64) * _ODD + start[later].astype(np.uint64)).view(np.int64)
+            shape[later] *= -1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), pa.array(passage), ids, pa.array(start.astype(np.int32)), pa.array((windows * 64 + place).astype(np.int32))],
+                [pa.array(gram), pa.array(passage), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(shape.astype(np.int32))],
                 ["anchor", "passage", "doc_id", "start", "shape"],
             )
 
@@ -115,6 +133,11 @@ def later_copies(rows: DataFrame, length: int) -> DataFrame:
         held, several = None, False  # first row of the current passage; whether its anchor has given out passages
         for batch in batches:
             new = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            known = new[4] < 0  # later copies already
+            if known.any():
+                none = np.zeros(0, np.int64)
+                yield spans_out(*[c[known] for c in new[:4]], -new[4][known], np.arange(int(known.sum())), none)
+            new = [c[~known] for c in new]
             if not len(new[0]):
                 continue
             if held is not None:
@@ -133,19 +156,17 @@ def later_copies(rows: DataFrame, length: int) -> DataFrame:
             out = firsts[give]
             several = bool(sizes[-1] > 1 or (len(sizes) == 1 and held is not None and several))
             held = [c[first[-1] : first[-1] + 1] for c in new]
-            gone = np.flatnonzero(later)
-            pick = np.r_[gone, out]
-            nulls = np.r_[np.ones(len(gone), bool), np.zeros(len(out), bool)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(gram[pick], pa.int64(), mask=nulls),
-                    pa.array(doc[pick]),
-                    pa.array(start[pick].astype(np.int32)),
-                    pa.array((start[pick] + (shape[pick] >> 6) + length - 1).astype(np.int32)),
-                    pa.array((start[pick] + (shape[pick] & 63)).astype(np.int32)),
-                ],
-                ["anchor", "doc_id", "start", "stop", "spot"],
-            )
+            yield spans_out(gram, passage, doc, start, shape, np.flatnonzero(later), out)
+
+    def spans_out(gram, passage, doc, start, shape, gone: np.ndarray, given: np.ndarray) -> pa.RecordBatch:
+        pick = np.r_[gone, given]
+        nulls = np.arange(len(pick)) < len(gone)
+        begin, stop = start[pick], start[pick] + (shape[pick] >> 6) + length - 1
+        spot = begin + (shape[pick] & 63)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(gram[pick], pa.int64(), mask=nulls), pa.array(doc[pick])] + [pa.array(c.astype(np.int32)) for c in (begin, stop, spot)],
+            ["anchor", "doc_id", "start", "stop", "spot"],
+        )
 
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "passage", "doc_id", "start")
     return dealt.mapInArrow(run, "anchor long, doc_id long, start int, stop int, spot int")
