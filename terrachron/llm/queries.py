@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrachron.llm import bpe, common, language, lines, packing, quality, simhash, substring, toxicity
+from terrachron.llm import bpe, common, language, lines, packing, perplexity, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     parameters = toxicity.train(docs.where(~common.held_out("doc_id")), labels.where(~common.held_out("doc_id")))
     found = toxicity.score(docs, parameters)
     return found.select("doc_id", common.held_out("doc_id").alias("held_out"), "score", "predicted", "n_windows")
+
+
+@query("op7_perplexity")
+def op7_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
