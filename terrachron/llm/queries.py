@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrachron.llm import bpe, common, language, lines, packing, perplexity, quality, simhash, substring, toxicity
+from terrachron.llm import binary_search, bpe, common, language, lines, packing, perplexity, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_perplexity")
 def op7_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_top_k", binary_search.sql())
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return binary_search.top_k(rows, rows.where("vec_id % 20 = 0"))
