@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrachron.llm import common
+from terrachron.session import materialize
 
 MAX_RATIO = 0.1
 #: Lines on fewer pages than this are never boilerplate, however small the host.
 MIN_PAGES = 5
+#: Line keys of all hosts that are broadcast together, at most; beyond, pages are joined by host and salt.
+BROADCAST_KEYS = 1_000_000
+SALTS = 64
 BLANKS = " \t\r\x0b\f"
 
 
@@ -35,6 +39,16 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     return frequent.groupBy("host").agg(F.collect_set("key").alias("drop"))
 
 
+def with_lists(pages: DataFrame, drop: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Pages with their host's list. Lists of a checked size are broadcast, so that no page moves;
+    larger ones are repeated for each salt, so that a host's pages go to many tasks."""
+    if drop.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0)).alias("n")).first()["n"] <= broadcast_keys:
+        return pages.join(F.broadcast(drop), "host", "left")
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)))
+    copies = drop.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["host", "salt"], "left").drop("salt")
+
+
 def deduplicate(
     docs: DataFrame,
     host_col: str = "source",
@@ -52,8 +66,8 @@ def deduplicate(
     pages = common.documents(docs, id_col, text_col, host=host_col)
     pages = pages.select("doc_id", "text", F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host"))
     keys = F.transform(F.split("text", "\n"), line_key)
-    drop = boilerplate(pages.select("host", keys.alias("keys")), max_ratio, min_pages)
-    joined = pages.join(drop, "host", "left")
+    drop = materialize(boilerplate(pages.select("host", keys.alias("keys")), max_ratio, min_pages), "boilerplate")
+    joined = with_lists(pages, drop)
     marked = F.transform(
         F.split("text", "\n"),
         lambda l: F.struct(l.alias("line"), line_key(l).isNotNull().alias("counts"), F.coalesce(F.array_contains("drop", line_key(l)), F.lit(False)).alias("gone")),
