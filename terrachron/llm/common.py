@@ -8,7 +8,7 @@ nothing. Documents keep their identifier as ``doc_id``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,19 +17,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Words of all operators: what stands between space, tab, line feed and the other ASCII breaks.
 BREAKS = r"[\x20\x09-\x0D]+"
 _BREAKS = re.compile(BREAKS)
+#: Identifiers are broadcast up to this many; beyond, a join shuffles.
+BROADCAST_ROWS = 2_000_000
 #: Text handled at once inside a task.
 SLICE_BYTES = 4 << 20
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
-    """The used columns under fixed names; a null text is empty."""
+def documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None, **more: str
+) -> DataFrame:
+    """The used columns under fixed names; a null text is empty. Columns to ``keep`` go into a struct ``carried``."""
+    if keep is not None:
+        return documents(docs, id_col, text_col, **more, carried=F.struct(F.lit(0).alias("_"), *[docs[c] for c in keep]))
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
-        *[docs[column].alias(name) for name, column in more.items()],
+        *[(docs[c] if isinstance(c, str) else c).alias(name) for name, c in more.items()],
     )
 
 
+def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if its rows, which are counted, are few enough."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def words_of(text: Column | str) -> Column:
     """Array of words as a column; empty for a text without any."""
     return F.array_remove(F.split(text, BREAKS), "")

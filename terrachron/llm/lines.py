@@ -7,6 +7,8 @@ and line, so a host with a third of all pages is spread like any other.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrachron.llm import common
@@ -56,15 +58,17 @@ def deduplicate(
     min_pages: int = MIN_PAGES,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per input row: ``doc_id``, ``text`` without boilerplate lines, ``n_lines``, ``n_dropped``.
+    """One row per input row: ``doc_id``, ``text`` without boilerplate lines, ``n_lines``, ``n_dropped``,
+    and the columns to ``keep``.
 
     Lines without words are kept and not counted. A line counts once a page. Pages
     with a null host form one host. A null text is empty; a page that loses all lines
     stays with an empty text. Repeated rows are pages of their own.
     """
-    pages = common.documents(docs, id_col, text_col, host=host_col)
-    pages = pages.select("doc_id", "text", F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host"))
+    pages = common.documents(docs, id_col, text_col, keep, host=host_col)
+    pages = pages.select("doc_id", "text", "carried", F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host"))
     keys = F.transform(F.split("text", "\n"), line_key)
     drop = materialize(boilerplate(pages.select("host", keys.alias("keys")), max_ratio, min_pages), "boilerplate")
     joined = with_lists(pages, drop)
@@ -72,13 +76,14 @@ def deduplicate(
         F.split("text", "\n"),
         lambda l: F.struct(l.alias("line"), line_key(l).isNotNull().alias("counts"), F.coalesce(F.array_contains("drop", line_key(l)), F.lit(False)).alias("gone")),
     )
-    joined = joined.select("doc_id", "text", F.when(F.col("drop").isNotNull(), marked).alias("lines"), F.size(F.filter(keys, lambda k: k.isNotNull())).alias("n"))
+    joined = joined.select("doc_id", "text", "carried", F.when(F.col("drop").isNotNull(), marked).alias("lines"), F.size(F.filter(keys, lambda k: k.isNotNull())).alias("n"))
     kept = F.array_join(F.transform(F.filter("lines", lambda x: ~x["gone"]), lambda x: x["line"]), "\n")
     return joined.select(
         "doc_id",
         F.coalesce(kept, "text").alias("text"),
         F.col("n").cast("long").alias("n_lines"),
         F.coalesce(F.size(F.filter("lines", lambda x: x["gone"])), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col("carried")[c].alias(c) for c in keep],
     )
 
 

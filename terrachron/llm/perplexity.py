@@ -26,8 +26,6 @@ BLOCK_CHARS = 24_000_000
 QUANTILE = 0.995
 #: Languages with fewer trusted documents to measure use the quantile of all of them.
 MIN_MEASURED = 50
-#: Identifiers of trusted documents are broadcast up to this many; beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
 
 
 def count_grams(trusted: DataFrame, text_col: str = "text") -> DataFrame:
@@ -179,11 +177,6 @@ def score(
     return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(answer, kind)
 
 
-def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if its rows, which are counted, are few enough."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
-
-
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -202,11 +195,11 @@ def classify(
     """
     trusted = labels.where(labels[label_col] == 1).select(labels[id_col].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     trusted = materialize(trusted, "trusted")
-    learned = small(trusted.where(~common.held_out("doc_id")))
+    learned = common.small(trusted.where(~common.held_out("doc_id")))
     texts = common.documents(docs, id_col, text_col)
     model = train(texts.join(learned, "doc_id", "left_semi"))
     scores = materialize(score(docs, model, lang_col, id_col, text_col), "perplexities")
-    measured = scores.where("perplexity is not null").join(small(trusted.where(common.held_out("doc_id"))), "doc_id", "left_semi")
+    measured = scores.where("perplexity is not null").join(common.small(trusted.where(common.held_out("doc_id"))), "doc_id", "left_semi")
     level = lambda: F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = measured.groupBy("lang").agg(level().alias("own"), F.count("*").alias("n"))
     by_lang = by_lang.where(F.col("n") >= MIN_MEASURED).select("lang", "own")

@@ -92,3 +92,10 @@ def op7_perplexity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return binary_search.top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

@@ -154,8 +154,10 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near duplicates: of each component the row with the smallest
-    ``doc_id`` stays (all of its rows, should it be repeated)."""
-    found = near_duplicates(docs, **options).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(found, docs[options.get("id_col", "doc_id")].eqNullSafe(found["doc_id"]), "left_semi")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents without near duplicates: of each component that with the smallest
+    ``doc_id`` stays, with all its rows should it be repeated. Rows with a null id stay."""
+    found = near_duplicates(docs, id_col=id_col, **options)
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near_duplicates")
+    gone = common.small(gone.withColumnRenamed("doc_id", "gone_id"))
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")

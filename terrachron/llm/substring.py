@@ -20,7 +20,9 @@ deal passages out to shards, and passages meet only in their anchor's shard:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ ANCHOR = 7
 #: Word hashes and passages a task holds at once; bounds memory, not results.
 MEMORY_WORDS = 500_000
 SHARD_PASSAGES = 20_000
+BREAK_CHARS = " \t\n\x0b\x0c\r"
+_WORD_AND_BREAK = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -358,36 +362,54 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     return copies.unionByName(shared_spans(docs, found.where("anchor is not null"), length, anchor))
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_text``.
-
-    Kept words are joined by single spaces. A text shorter than a window keeps all its words; a null
-    text has none. Rows with a null ``doc_id`` have no place in the order: they are
-    kept whole and remove nothing. A repeated row counts as one document, and each of its copies
-    keeps what the document keeps; rows that share a ``doc_id`` must have one text.
+def without(text: str, spans_: list, layout: bool) -> tuple[int, int, str]:
+    """Words of a text, words removed, and what is left: with the breaks that followed the
+    kept words, or joined by single spaces."""
+    words = common.split_words(text)
+    mask = bytearray(b"\1") * len(words)
+    for s in spans_:
+        mask[s["start"] : s["stop"]] = bytes(s["stop"] - s["start"])
+    kept = sum(mask)
+    if not layout:
+        return len(words), len(words) - kept, " ".join(compress(words, mask))
+    if kept == len(words):
+        return kept, 0, text
+    parts = [m for m in _WORD_AND_BREAK.findall(text)]
+    return len(words), len(words) - kept, "".join(compress(parts, mask)).rstrip(BREAK_CHARS)
+
+
+def deduplicate(
+    docs: DataFrame,
+    length: int = LENGTH,
+    anchor: int = ANCHOR,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    layout: bool = False,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """One row per input row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_text``, and the columns to ``keep``.
+
+    Kept words are joined by single spaces or, with ``layout``, keep the breaks after them. A
+    text shorter than a window keeps all its words; a null text has none. Rows with a null
+    ``doc_id`` have no place in the order: they are kept whole and remove nothing. A
+    repeated row counts as one document, and each of its copies keeps what the document
+    keeps; rows that share a ``doc_id`` must have one text.
     """
-    texts = common.documents(docs, id_col, text_col)
-    spans_ = removed_spans(texts, length, anchor)
-    lists = spans_.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    texts = common.documents(docs, id_col, text_col, keep)
+    spans_ = removed_spans(texts.select("doc_id", "text"), length, anchor)
+    lists = spans_.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    joined = texts.join(lists, "doc_id", "left").select("doc_id", "text", "carried", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
-            n_words, n_removed, kept = [], [], []
-            for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                words = common.split_words(text)
-                rest, done = [], 0
-                for s in found or []:
-                    if s["stop"] > done:
-                        rest.extend(words[done : s["start"]])
-                        done = max(done, s["stop"])
-                rest.extend(words[done:])
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(rest))
-                kept.append(" ".join(rest))
+            found = zip(part.column("text").to_pylist(), part.column("spans").to_pylist())
+            rows = [without(text, own or [], layout) for text, own in found]
+            n_words, n_removed, kept = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_text"],
+                [part.column("doc_id"), part.column("carried"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                ["doc_id", "carried", "n_words", "n_removed", "kept_text"],
             )
 
-    joined = texts.join(lists, "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    kind = f"doc_id long, carried {joined.schema['carried'].dataType.simpleString()}, n_words long, n_removed long, kept_text string"
+    out = joined.mapInArrow(run, kind)
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", *[F.col("carried")[c].alias(c) for c in keep])
