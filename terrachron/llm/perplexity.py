@@ -106,9 +106,8 @@ def asked(grams: set[str]) -> set[str]:
     for gram in grams:
         while gram not in found:
             found.add(gram)
-            found.add(gram[:-1])
             gram = gram[1:]
-    return found
+    return found | {gram[:-1] for gram in found}
 
 
 class Model(dict):
