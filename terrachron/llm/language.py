@@ -66,7 +66,8 @@ def train(
     rows = common.documents(docs, id_col, text_col, lang=lang_col).where("lang is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_docs)
-    sample = rows.join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    chosen = common.small(chosen.select("doc_id", "lang").distinct())
+    sample = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):

@@ -318,10 +318,11 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, id_co
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     known = known.where("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    # two classes times most_docs rows, so they may be broadcast
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_docs).drop("k")
     cut = F.array_join(F.slice(common.words_of("text"), 1, TRAIN_WORDS), " ")
-    rows = texts.join(chosen, "doc_id").select("doc_id", "label", cut.alias("text")).dropDuplicates(["doc_id"])
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", cut.alias("text")).dropDuplicates(["doc_id"])
     sample = sorted(rows.collect(), key=lambda x: x["doc_id"])
     return fit([x["text"] for x in sample], [x["label"] for x in sample])
 
