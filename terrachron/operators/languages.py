@@ -10,8 +10,6 @@ from terrachron.functions.geometry import grow_point_box
 from terrachron.functions.text import key_alias, language_key
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
-# A view gets one column per language; more than this is a fault in the tags.
-MAX_COLUMNS = 5_000
 
 
 def search_languages(layers: list[DataFrame], strict_reference: bool = False) -> DataFrame:
@@ -79,11 +77,12 @@ def update_languages(
 
 
 def language_keys(languages: DataFrame) -> list[str]:
-    """Keys for ``language_columns``, sorted; a column list has to be known to plan a view."""
-    rows = languages.select("key_name").distinct().limit(MAX_COLUMNS + 1).collect()
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} languages; raise the minimum count")
-    return sorted(r.key_name for r in rows)
+    """Keys for ``language_columns``, sorted.
+
+    A column list has to be known to plan a view, so all keys come to the driver; how many
+    there are follows from the minimum count given to ``update_languages``.
+    """
+    return sorted(r.key_name for r in languages.select("key_name").distinct().collect())
 
 
 def tag_key_stats(elements: DataFrame, minimum: int = 10) -> DataFrame:

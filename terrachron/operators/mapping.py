@@ -71,18 +71,71 @@ def map_elements(
     Adds ``layer`` and its ``shape``, ``class`` (the matched key) and ``type_value``
     (its value).
     """
-    # The rule table has a fixed size, so the tag rows stay where they are.
-    rules = F.broadcast(rule_table(elements.sparkSession, layers))
-    tagged = elements.select("*", F.explode("tags").alias("class", "type_value"))
-    value_fits = F.array_contains("accepted", F.lit(ANY)) | F.array_contains(
-        "accepted", F.col("type_value")
+    rows = rule_rows(layers)
+    if not rows:
+        none = {c: F.lit(None).cast("string") for c in ("class", "type_value", "layer", "shape")}
+        return elements.withColumns(none).limit(0)
+    rules, by_key = rule_literals(rows)
+    tags = F.col("tags")
+
+    def fits(rule: Column) -> Column:
+        value = F.try_element_at(tags, rule["key"])
+        kept = F.array_contains(rule["accepted"], F.lit(ANY)) | F.array_contains(rule["accepted"], value)
+        kept = kept & ~F.array_contains(rule["excluded"], value)
+        if by_type:
+            kept = kept & F.array_contains(rule["types"], F.col("type"))
+        return kept & ~_rejected(tags, rule["reject"])
+
+    def match(rule: Column) -> Column:
+        value = F.try_element_at(tags, rule["key"])
+        return F.struct(rule["key"], value, rule["layer"], rule["geometry"])
+
+    # Only matches are exploded, so an element is copied once for each layer that takes it.
+    found = F.transform(F.filter(rules_of(tags, rules, by_key), fits), match)
+    exploded = elements.select("*", F.inline(found).alias("class", "type_value", "layer", "shape"))
+    return exploded
+
+
+def rule_literals(rows: list[tuple], coastline: bool = False) -> tuple[Column, Column]:
+    """The rules as an array, and the numbers of the rules of each tag key as a map; both are constants."""
+    rules = F.array(
+        *[
+            F.struct(
+                F.lit(layer).alias("layer"),
+                F.lit(geometry).alias("geometry"),
+                F.lit(key).alias("key"),
+                F.array(*[F.lit(v) for v in accepted]).alias("accepted"),
+                F.array(*[F.lit(v) for v in excluded]).cast("array<string>").alias("excluded"),
+                _literal_map(_reject_with_coastline(layer, reject) if coastline else reject).alias("reject"),
+                F.array(*[F.lit(t) for t in types]).alias("types"),
+            )
+            for layer, geometry, key, accepted, excluded, reject, types in rows
+        ]
     )
-    kept = value_fits & ~F.array_contains("excluded", F.col("type_value"))
-    if by_type:
-        kept = kept & F.array_contains("element_types", F.col("type"))
-    joined = tagged.join(rules, tagged["class"] == rules["tag_key"])
-    kept = kept & ~_rejected(F.col("tags"), F.col("reject"))
-    return joined.filter(kept).drop("tag_key", "accepted", "excluded", "reject", "element_types")
+    numbers: dict[str, list[int]] = {}
+    for number, row in enumerate(rows):
+        numbers.setdefault(row[2], []).append(number)
+    pairs = [F.struct(F.lit(k), F.array(*[F.lit(n) for n in ns])) for k, ns in numbers.items()]
+    return rules, F.map_from_entries(F.array(*pairs))
+
+
+def rules_of(tags: Column, rules: Column, by_key: Column) -> Column:
+    """The rules of the keys an element has, in the order of the rules."""
+    numbers = F.transform(F.map_keys(tags), lambda k: F.coalesce(F.try_element_at(by_key, k), F.array().cast("array<int>")))
+    return F.transform(F.array_sort(F.flatten(numbers)), lambda n: F.get(rules, n))
+
+
+def load_layers(elements: DataFrame, path: str, layers: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The typed tables of all layers from one scan of the elements.
+
+    Matches are written once, in one folder for each layer; every table then reads its
+    own folder only.
+    """
+    chosen = [n for n in LAYERS if layers is None or n in set(layers)]
+    mapped = map_elements(elements, chosen)
+    mapped.write.mode("overwrite").partitionBy("layer").parquet(path)
+    stored = elements.sparkSession.read.schema(mapped.schema).parquet(path)
+    return {name: typed_layer(stored.filter(F.col("layer") == name), name) for name in chosen}
 
 
 def layer_table(elements: DataFrame, name: str) -> DataFrame:
@@ -91,8 +144,12 @@ def layer_table(elements: DataFrame, name: str) -> DataFrame:
     ``elements`` has type, osm_id, tags and geometry; a relation-member layer
     also has member, role and me_tags.
     """
+    return typed_layer(map_elements(elements, [name]), name)
+
+
+def typed_layer(rows: DataFrame, name: str) -> DataFrame:
+    """The typed columns of a layer from its mapped elements."""
     layer = LAYERS[name]
-    rows = map_elements(elements, [name])
     tags = F.col("tags")
     sign = F.when(F.col("type") == "relation", -F.abs("osm_id")).otherwise(F.col("osm_id"))
     columns = [
@@ -184,20 +241,7 @@ def skip_reasons(elements: DataFrame) -> DataFrame:
     is evaluated inside the row; no shuffle is needed.
     """
     tags, kind = F.col("tags"), F.col("type")
-    rules = F.array(
-        *[
-            F.struct(
-                F.lit(layer).alias("layer"),
-                F.lit(geometry).alias("geometry"),
-                F.lit(key).alias("key"),
-                F.array(*[F.lit(v) for v in accepted]).alias("accepted"),
-                F.array(*[F.lit(v) for v in excluded]).cast("array<string>").alias("excluded"),
-                _literal_map(_reject_with_coastline(layer, reject)).alias("reject"),
-                F.array(*[F.lit(t) for t in types]).alias("types"),
-            )
-            for layer, geometry, key, accepted, excluded, reject, types in rule_rows()
-        ]
-    )
+    rules, by_key = rule_literals(rule_rows(), coastline=True)
 
     def matched(rule: Column) -> Column:
         value = F.try_element_at(tags, rule["key"])
@@ -246,7 +290,7 @@ def skip_reasons(elements: DataFrame) -> DataFrame:
             .otherwise(F.lit(""))
         )
 
-    reasons = F.transform(F.filter(rules, matched), reason)
+    reasons = F.transform(F.filter(rules_of(tags, rules, by_key), matched), reason)
     relation_type = empty_to_null(tag(tags, "type"))
     nodes = F.col("node_count")
     broken = F.coalesce(broken_way(kind, tag(tags, "area"), nodes), F.lit(False))

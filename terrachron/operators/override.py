@@ -18,6 +18,7 @@ from terrachron.functions.text import (
     zero_to_null,
 )
 from terrachron.operators.skew import first_per_key
+from terrachron.session import materialize
 
 TEXT = [
     "name",
@@ -70,7 +71,12 @@ def override_lines(
     transport relation are shown through it. Text dates are compared as text;
     ``by_decimal`` compares them as dates instead.
     """
-    pairs = pair_ways_with_streets(ways, streets)
+    # both the earliest change and the copies need the joined rows, so they are written once
+    joined = pair_ways_with_streets(ways, streets)
+    shared = ["osm_id", *TEXT, *NUMBERS, "tags"]
+    sides = {"tl": [*shared, "geometry", "type", "class"], "sm": [*shared, "start_date", "end_date"]}
+    packed = [F.struct(*[F.col(f"{s}.{c}").alias(c) for c in columns]).alias(s) for s, columns in sides.items()]
+    pairs = materialize(joined.select(*packed, "_differs"), "ways_and_streets")
     changed = pairs.filter("_differs").select(
         F.col("tl.osm_id").alias("way"), F.col("sm.osm_id").alias("rel"),
         empty_to_null(F.col("sm.start_date")).alias("rel_start"),

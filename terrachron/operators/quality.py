@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrachron.operators.skew import OrderedGroups
+from terrachron.operators.skew import OrderedGroups, first_per_key
 
 
 def at_moment(value) -> Column:
@@ -37,9 +37,9 @@ def replication_lag(arrived: Column, stamp: Column, threshold: float) -> dict[st
 
 
 def replication_covers(changesets: DataFrame, state: DataFrame) -> DataFrame:
-    """Is each changeset inside the replicated data? ``state`` is one row."""
-    # A single row: sequence and timestamp of the newest state.
-    one = F.broadcast(state.select(F.col("timestamp").alias("_at")))
+    """Is each changeset inside the replicated data, up to the newest time in ``state``?"""
+    # An aggregate without keys is one row, however many states there are.
+    one = F.broadcast(state.agg(F.max("timestamp").alias("_at")))
     behind = F.round(F.timestamp_diff("SECOND", "_at", "closed_at") / 60, 1)
     joined = changesets.crossJoin(one)
     status = (
@@ -155,7 +155,8 @@ def stale_tiles(touched: DataFrame, cache: DataFrame) -> DataFrame:
 
 def comment_lines(elements: DataFrame) -> DataFrame:
     """One draft per changeset and element that can be commented on."""
-    rows = elements.filter("commentable").dropDuplicates(["changeset", "type", "osm_id"])
+    keys = ["changeset", "type", "osm_id"]
+    rows = first_per_key(elements.filter("commentable"), keys, [F.col("skip_reason").asc_nulls_last()])
     line = F.concat(
         F.lit("- "), "type", F.lit(" "), F.col("osm_id").cast("string"), F.lit(": "), "skip_reason"
     )

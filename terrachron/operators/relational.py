@@ -93,18 +93,14 @@ def named(df: DataFrame) -> DataFrame:
 def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     """SQL ``NOT IN``: one NULL on the right empties the result, NULLs on the left never pass.
 
-    The NULL test is a one-row aggregate, so the rest is a plain anti join that
-    shuffles on the key instead of a broadcast of the right side.
+    The NULL test is a one-row aggregate inside the plan, so the rest is a plain anti
+    join that shuffles on the key instead of a broadcast of the right side.
     """
-    nulls = other.agg(
-        F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(other_column).isNull()).alias("_nulls")
-    ).first()
-    if nulls["_rows"] == 0:
-        return df
-    if nulls["_nulls"]:
-        return df.limit(0)
     keys = other.select(F.col(other_column).alias("_other"))
-    return df.filter(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_other"), "left_anti")
+    nulls = keys.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("_other").isNull()).alias("_nulls"))
+    missing = df.join(keys, F.col(column) == F.col("_other"), "left_anti")
+    passes = (F.col("_rows") == 0) | ((F.col("_nulls") == 0) & F.col(column).isNotNull())
+    return missing.crossJoin(F.broadcast(nulls)).filter(passes).drop("_rows", "_nulls")
 
 
 def lookup_in_tables(tables: Mapping[str, DataFrame], wanted: DataFrame, key: str = "osm_id") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrachron.functions.geometry import to_degrees
 
+POINTER = "_current"
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once; a key with a NULL never clashes."""
@@ -31,46 +34,74 @@ def publish(
 ) -> None:
     """Write ``name`` below ``root``; readers see the old table until the new one is complete.
 
+    Every table is a folder of its own, and a small pointer file names the current one. Only
+    the pointer is written anew, so there is a table at any moment, also on
+    object stores. The table before the current one stays for readers that have
+    it open; older ones are removed.
+
     The new table is rejected when ``unique`` columns repeat. Where the rows
     carry a box they are sorted by it inside each file, so that a box filter
     skips row groups.
     """
     spark = df.sparkSession
-    target, fresh, old = (f"{root}/{name}{suffix}" for suffix in ("", "_tmp", "_old"))
+    fresh = f"v-{uuid.uuid4().hex}"
     by = [c for c in sort if c in df.columns]
-    (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(fresh)
-    written = spark.read.schema(df.schema).parquet(fresh)
+    (df.sortWithinPartitions(*by) if by else df).write.parquet(f"{root}/{name}/{fresh}")
+    written = spark.read.schema(df.schema).parquet(f"{root}/{name}/{fresh}")
     if unique:
         clash = duplicate_keys(written, unique).limit(3).collect()
         if clash:
+            _delete(spark, f"{root}/{name}/{fresh}")
             raise ValueError(f"{name}: {', '.join(unique)} are not unique, e.g. {clash}")
-    fs = _file_system(spark, _hadoop_path(spark, root))
-    paths = {k: _hadoop_path(spark, v) for k, v in (("target", target), ("fresh", fresh), ("old", old))}
-    fs.delete(paths["old"], True)
-    if fs.exists(paths["target"]) and not fs.rename(paths["target"], paths["old"]):
-        raise OSError(f"cannot set {target} aside")
-    if not fs.rename(paths["fresh"], paths["target"]):
-        raise OSError(f"cannot put {target} in place")
-    fs.delete(paths["old"], True)
+    before = _versions(spark, root, name)
+    _write_pointer(spark, root, name, [fresh, *before[:1]])
+    for version in before[1:]:
+        _delete(spark, f"{root}/{name}/{version}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = _hadoop_path(spark, path)
+    _file_system(spark, target).delete(target, True)
+
+
+def _write_pointer(spark: SparkSession, root: str, name: str, versions: Sequence[str]) -> None:
+    path = _hadoop_path(spark, f"{root}/{name}/{POINTER}")
+    out = _file_system(spark, path).create(path, True)
+    out.write(bytearray("\n".join(versions).encode()))
+    out.close()
+
+
+def _versions(spark: SparkSession, root: str, name: str) -> list[str]:
+    """The current version of a table and the one before it; empty if it was never published."""
+    if not is_published(spark, root, name):
+        return []
+    path = _hadoop_path(spark, f"{root}/{name}/{POINTER}")
+    stream = _file_system(spark, path).open(path)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text.split("\n")
 
 
 def is_published(spark: SparkSession, root: str, name: str) -> bool:
-    path = _hadoop_path(spark, f"{root}/{name}")
+    path = _hadoop_path(spark, f"{root}/{name}/{POINTER}")
     return _file_system(spark, path).exists(path)
 
 
 def open_view(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+    versions = _versions(spark, root, name)
+    if not versions:
+        raise FileNotFoundError(f"{root}/{name}")
+    return spark.read.parquet(f"{root}/{name}/{versions[0]}")
 
 
 def write_by_changeset(df: DataFrame, path: str) -> None:
     """One gzip folder per changeset.
 
-    Rows are spread by changeset and a salt, so a very large changeset is
-    written by several tasks.
+    Tasks take ranges of changesets and, inside one, of row hashes. So small changesets
+    share a task and have a file each, and a changeset of any size is cut into as many
+    ranges as its rows fill.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-    spread = df.repartition(F.col("changeset"), salt)
+    spread = df.repartitionByRange(F.col("changeset"), F.xxhash64(*df.columns))
     spread.write.mode("overwrite").partitionBy("changeset").option("compression", "gzip").json(path)
 
 

@@ -13,7 +13,7 @@ from terrachron.operators import boundaries, override, routes
 from terrachron.operators.changes import with_decimal_dates
 from terrachron.operators.shapes import simplify
 from terrachron.plans import views
-from terrachron.plans.publish import open_view, publish
+from terrachron.plans.publish import is_published, open_view, publish
 from terrachron.plans.serving import CLOSE, STANDARD, band_name
 from terrachron.sources.static import LAKE_TABLES
 
@@ -297,36 +297,51 @@ def build(view: View, tables: Mapping[str, DataFrame], languages: list[str] = ()
     raise ValueError(f"unknown kind of view {view.kind}")
 
 
+class Published(dict):
+    """Layers by name; other names are opened as published views."""
+
+    def __init__(self, spark: SparkSession, root: str, layers: Mapping[str, DataFrame]):
+        super().__init__(layers)
+        self.spark, self.root = spark, root
+
+    def __missing__(self, name: str) -> DataFrame:
+        return open_view(self.spark, self.root, name).drop("xmin", "ymin", "xmax", "ymax")
+
+
 def build_all(
     spark: SparkSession,
     layers: Mapping[str, DataFrame],
     root: str,
     languages: list[str] = (),
     only: Iterable[str] | None = None,
+    resume: bool = False,
 ) -> list[str]:
     """Build and publish the catalogue; each band is read back by the next one.
 
     Every view is written once, with its envelope as columns, sorted by it
-    inside the files.
+    inside the files. Sources that are not built in this call are opened as they were
+    published. With ``resume``, views published already are left as they are, so
+    a build that failed goes on where it stopped. Returns the views built.
     """
     wanted = None if only is None else set(only)
-    tables = dict(layers)
+    tables = Published(spark, root, layers)
     built = []
     for view in catalogue():
         if wanted is not None and view.name not in wanted:
             continue
+        if resume and is_published(spark, root, view.name):
+            continue
         if view.kind == "routes_normalized":
             periods, members = routes.normalize_routes(
                 routes.route_sources(*[dated(tables[s]) for s in view.sources])
             )
             publish(members, root, f"{view.name}_members")
-            tables[f"{view.name}_members"] = open_view(spark, root, f"{view.name}_members")
             rows = periods
         else:
             rows = build(view, tables, languages)
         if "xmin" not in rows.columns:
             rows = rows.withColumns(bounds(F.col("geometry")))
         publish(rows, root, view.name, view.unique)
-        tables[view.name] = open_view(spark, root, view.name).drop("xmin", "ymin", "xmax", "ymax")
+        tables.pop(view.name, None)
         built.append(view.name)
     return built

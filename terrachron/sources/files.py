@@ -40,7 +40,11 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listed_files(spark: SparkSession, path: str, modified_after: str | None = None, pattern: str = "*") -> DataFrame:
-    """Name and md5 of the files below a folder."""
+    """Name and md5 of the files below a folder, and the folder each is in.
+
+    The hash needs a file's whole content in one row, so this is for files of
+    moderate size, such as change documents.
+    """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     reader = reader.option("recursiveFileLookup", "true")
     if modified_after:
@@ -48,6 +52,7 @@ def listed_files(spark: SparkSession, path: str, modified_after: str | None = No
     files = reader.load(path)
     return files.select(
         F.substring_index("path", "/", -1).alias("name"),
+        F.substring_index(F.substring_index("path", "/", -2), "/", 1).alias("folder"),
         "length",
         "modificationTime",
         F.md5("content").alias("md5"),
