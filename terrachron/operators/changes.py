@@ -23,16 +23,30 @@ def apply_changes(
 ) -> DataFrame:
     """Next snapshot: the highest version of each element, without the deleted ones.
 
-    Applying the same changes again gives the same result.
+    Applying the same changes again gives the same result. ``snapshot`` has one row
+    for each element.
     """
     columns = [c for c in changes.columns if c != "action"]
-    rows = changes
+    latest = newest_changes(changes, order, ties)
     if snapshot is not None:
-        rows = changes.unionByName(snapshot.select(*columns).withColumn("action", F.lit("modify")))
-    latest = newest_changes(rows, order, ties)
+        latest = overlay(snapshot.select(*columns).withColumn("action", F.lit("modify")), latest, order, ties)
     return latest.filter(F.col("action") != "delete").select(*columns)
 
 
+def overlay(
+    base: DataFrame, newest: DataFrame, order: Sequence[str] = ("version",), ties: Sequence[str] = ()
+) -> DataFrame:
+    """``base`` with the newer of both rows where ``newest`` has the element too.
+
+    Both have one row for each element. Only elements that ``newest`` touches are ranked; the
+    others pass an anti join, which moves no row of ``base`` while the keys are few.
+    """
+    keys = newest.select(*ELEMENT)
+    untouched = base.join(keys, ELEMENT, "left_anti")
+    touched = base.join(keys, ELEMENT, "left_semi")
+    return untouched.unionByName(newest_changes(touched.unionByName(newest), order, ties))
+
+
 def with_decimal_dates(df: DataFrame) -> DataFrame:
     """Derived date columns, filled in as rows arrive."""
     return df.withColumns(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrachron.operators.skew import same_keys
+from terrachron.session import materialize
 
 
 def refresh_groups(
@@ -25,3 +26,47 @@ def refresh_groups(
     kept = view.join(touched, same_keys(view, touched, keys), "left_anti")
     inputs = rows.join(touched, same_keys(rows, touched, keys), "left_semi")
     return kept.unionByName(build(inputs))
+
+
+class GroupedView:
+    """A stored view of independent key groups, in parts by a hash of the keys.
+
+    A refresh replaces only the parts with changed groups. Every part is a folder,
+    whose new rows are made aside before it is replaced.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], parts: int = 64):
+        """``parts`` should grow with the view, so that a part stays a few files."""
+        self.spark, self.path, self.keys, self.parts = spark, path, list(keys), parts
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+
+    def _write(self, rows: DataFrame, replace: str) -> None:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", replace)
+        writer.partitionBy("part").parquet(self.path)
+
+    def create(self, rows: DataFrame) -> None:
+        self._write(rows.withColumn("part", self._part()), "static")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("part")
+
+    def refresh(self, rows: DataFrame, changed: DataFrame, build: Callable[[DataFrame], DataFrame]) -> list[int]:
+        """Bring the view up to date with ``rows`` after the groups in ``changed`` changed.
+
+        ``changed`` must hold the keys from before and after the edit. Returns the parts
+        replaced; at most ``parts`` numbers come to the driver.
+        """
+        touched = materialize(changed.select(*self.keys).distinct(), "touched")
+        parts = sorted(r["part"] for r in touched.select(self._part().alias("part")).distinct().collect())
+        stored = self.spark.read.parquet(self.path).filter(F.col("part").isin(parts))
+        kept = stored.join(touched, same_keys(stored, touched, self.keys), "left_anti").drop("part")
+        made = build(rows.join(touched, same_keys(rows, touched, self.keys), "left_semi"))
+        fresh = materialize(kept.unionByName(made).withColumn("part", self._part()), "parts")
+        self._write(fresh, "dynamic")
+        gone = set(parts) - {r["part"] for r in fresh.select("part").distinct().collect()}
+        for part in gone:  # parts that have no group any more
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/part={part}")
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        return parts

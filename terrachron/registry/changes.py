@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from terrachron.operators import changes as ops, intervals, tiles as tile_ops
-from terrachron.operators.refresh import refresh_groups
+from terrachron.operators.refresh import GroupedView
 from terrachron.registry.base import query, sql_decimal, sql_iso
 from terrachron.registry.maps import _BOXES, _EXPAND_ZOOMS, _SHORT, boxes, sql_tx, sql_ty
 from terrachron.registry.temporal import _ISLANDS, _LAG
@@ -336,8 +336,10 @@ def _(t):
     def build(rows):
         return intervals.merge_intervals(rows, keys, tie="osm_id")
 
-    view = refresh_groups(build(before), edited, edited.filter("status = 'P'"), keys, build)
-    return view.withColumns({c: F.round(c, 6) for c in ("min_start_decdate", "max_end_decdate")})
+    view = GroupedView(t.spark, work_path(t.spark, "grouped"), keys, parts=16)
+    view.create(build(before))
+    view.refresh(edited, edited.filter("status = 'P'"), build)
+    return view.read().withColumns({c: F.round(c, 6) for c in ("min_start_decdate", "max_end_decdate")})
 
 
 @query(

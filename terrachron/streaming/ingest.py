@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from terrachron.operators.changes import ELEMENT, newest_changes
+from terrachron.operators.changes import ELEMENT, newest_changes, overlay
+from terrachron.plans.publish import is_published, open_view, publish
 
-BUCKETS = 64
+#: Hidden from readers of the log by its first letter.
+BASE = "_base"
 CORRUPT = "_corrupt_record"
 
 
@@ -30,52 +32,86 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 class SnapshotTable:
-    """Current elements in hash buckets; each batch adds new versions of the buckets it touches.
+    """Current elements as a compacted base and a log of changes.
 
-    Files are never changed in place: a bucket is read at its newest batch, and
-    a batch that is run again replaces only its own files. Deleted elements stay
-    as tombstones, so late changes cannot bring them back.
+    A batch appends its own changes and reads nothing, so it costs what it holds. Readers
+    lay the log over the base. ``compact`` writes a new base beside the old one and
+    switches a pointer; ``vacuum`` then removes the batches in it. Deleted
+    elements stay as tombstones, so late changes cannot bring them back. A batch that is
+    run again replaces its own files.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
-
-    def _stored(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if _exists(self.spark, self.path) else None
-
-    def _rows(self, before: int | None = None) -> DataFrame | None:
-        stored = self._stored()
-        if stored is None:
-            return None
-        if before is not None:
-            stored = stored.filter(F.col("batch") < before)
-        newest = stored.groupBy("bucket").agg(F.max("batch").alias("batch"))
-        # One row per bucket.
-        return stored.join(F.broadcast(newest), ["bucket", "batch"])
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        buckets: int | None = None,
+        order: Sequence[str] = ("version",),
+        ties: Sequence[str] = (),
+    ):
+        """``buckets`` is the number of files of a base; by default Spark decides."""
+        self.spark, self.path, self.buckets, self.order, self.ties = spark, path, buckets, order, ties
+
+    def _log(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.path) if self.batches() else None
+
+    def batches(self) -> list[int]:
+        """Batches in the log."""
+        if not _exists(self.spark, self.path):
+            return []
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
+        names = [f.getPath().getName() for f in found]
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+    def compacted(self) -> int:
+        """Last batch in the base, -1 without one."""
+        if not is_published(self.spark, self.path, BASE):
+            return -1
+        first = open_view(self.spark, self.path, BASE).select("upto").first()
+        return -1 if first is None else first["upto"]
+
+    def rows(self) -> DataFrame:
+        """The newest row of every element, tombstones included."""
+        upto = self.compacted()
+        base = open_view(self.spark, self.path, BASE).drop("upto") if upto >= 0 else None
+        log = self._log()
+        if log is None:
+            if base is None:
+                raise FileNotFoundError(self.path)
+            return base
+        fresh = newest_changes(log.filter(F.col("batch") > upto).drop("batch"), self.order, self.ties)
+        return fresh if base is None else overlay(base, fresh, self.order, self.ties)
 
     def elements(self) -> DataFrame:
         """The elements that exist now."""
-        rows = self._rows()
-        if rows is None:
-            raise FileNotFoundError(self.path)
-        return rows.filter(F.col("action") != "delete").drop("bucket", "batch", "action")
-
-    def merge(self, changes: DataFrame, batch: int, order: Sequence[str], ties: Sequence[str] = ()) -> None:
-        """Apply one batch of changes to the buckets it touches."""
-        bucket = F.pmod(F.xxhash64(*ELEMENT), F.lit(self.buckets)).cast("int")
-        rows = newest_changes(changes, order, ties).withColumn("bucket", bucket)
-        stored = self._rows(before=batch)
-        if stored is not None:
-            touched = F.broadcast(rows.select("bucket").distinct())  # at most one row per bucket
-            rows = rows.unionByName(stored.drop("batch").join(touched, "bucket", "left_semi"))
-        merged = newest_changes(rows, order, ties).withColumn("batch", F.lit(batch))
-        (
-            merged.repartition("bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch", "bucket")
-            .parquet(self.path)
-        )
+        return self.rows().filter(F.col("action") != "delete").drop("action")
+
+    def merge(
+        self, changes: DataFrame, batch: int, order: Sequence[str] | None = None, ties: Sequence[str] | None = None
+    ) -> None:
+        """Add one batch of changes to the log."""
+        self.order, self.ties = order or self.order, self.ties if ties is None else ties
+        rows = newest_changes(changes, self.order, self.ties).withColumn("batch", F.lit(batch))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("batch").parquet(self.path)
+
+    def compact(self) -> None:
+        """Write the base anew with all batches of the log; changes no element."""
+        known = self.batches()
+        if not known or known[-1] <= self.compacted():
+            return
+        rows = self.rows().withColumn("upto", F.lit(known[-1]))
+        dealt = rows.repartition(self.buckets, *ELEMENT) if self.buckets else rows.repartition(*ELEMENT)
+        publish(dealt, self.path, BASE, sort=ELEMENT)
+
+    def vacuum(self) -> None:
+        """Remove the batches that are in the base."""
+        upto = self.compacted()
+        for batch in self.batches():
+            if batch <= upto:
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch}")
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ingest_changes(

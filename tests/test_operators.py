@@ -161,11 +161,14 @@ def test_skip_reasons(spark):
     assert got == {r[1]: r[5:] for r in rows}
 
 
-def test_mapping_goes_through_a_broadcast(spark):
-    """Tag rows are not shuffled to meet the rules."""
+def test_mapping_moves_no_rows(spark):
+    """Rules are looked up inside the row: no shuffle and no join, and only matches are exploded."""
     df = spark.createDataFrame([("way", 1, {"highway": "primary"})], "type string, osm_id long, tags map<string,string>")
     plan = mapping.map_elements(df)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert "Join" not in plan and "Exchange" not in plan and "Generate inline" in plan
+    rows = spark.createDataFrame([("way", 1, {"highway": "primary", "foo": "bar"}), ("way", 2, {}), ("way", 3, None)], "type string, osm_id long, tags map<string,string>")
+    assert {(r.osm_id, r["class"], r.type_value, r.layer) for r in mapping.map_elements(rows).collect()} == {(1, "highway", "primary", "transport_lines")}
+    assert mapping.map_elements(rows, ["no_such_layer"]).count() == 0
 
 
 def test_retry_golden(spark):

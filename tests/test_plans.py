@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrachron.functions import geometry as geo
-from terrachron.operators.mapping import layer_table
+from terrachron.operators.mapping import layer_table, load_layers
 from terrachron.plans import publish, pyramid
 from terrachron.plans.serving import serving_bands
 from terrachron.registry.base import Tables
@@ -44,6 +44,31 @@ def test_pyramid_of_water(spark):
     assert {"area_km2", "start_decdate", "name_en", "source", "xmin"} <= set(detailed.columns)
 
 
+def test_all_layers_from_one_scan(spark):
+    """The stored matches give the same tables as a scan for each layer, and each table reads its own folder."""
+    elements = Tables(spark, "/root/testdata/sf0.001").tagged().limit(400).withColumns(
+        {"geometry": geo.point(F.col("x"), F.col("y")), "member": F.lit(1).cast("long"), "role": F.lit(""), "me_tags": F.col("tags")}
+    )
+    tables = load_layers(elements, work_path(spark, "layers"))
+    assert set(tables) == set(LAYERS)
+    for name in ("water_areas", "place_points", "transport_lines"):
+        columns = ["id", "osm_id", "class", "type"]
+        assert sorted(tables[name].select(columns).collect()) == sorted(layer_table(elements, name).select(columns).collect())
+        plan = tables[name]._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and f"layer#" in plan.split("PartitionFilters")[1][:120]
+
+
+def test_build_resumes_and_opens_published_sources(spark):
+    elements = Tables(spark, "/root/testdata/sf0.001").tagged()
+    square = geo.rectangle(F.col("x"), F.col("y"), (F.col("osm_id") % 50) * 300.0 + 1, (F.col("osm_id") % 50) * 300.0 + 1)
+    layers = {"water_areas": layer_table(elements.withColumn("geometry", square), "water_areas")}
+    root = work_path(spark, "resumed")
+    names = [v.name for v in pyramid.catalogue() if v.name.startswith("water_areas")][:3]
+    assert pyramid.build_all(spark, layers, root, only=names[:1]) == names[:1]
+    assert pyramid.build_all(spark, layers, root, only=names, resume=True) == names[1:]
+    assert pyramid.build_all(spark, {}, root, only=names[1:2]) == names[1:2]  # its source is a published view
+
+
 def test_publish_rejects_duplicates_and_keeps_the_old_view(spark):
     root = work_path(spark, "publish")
     good = spark.range(5).withColumn("v", F.lit("a"))
