@@ -17,12 +17,20 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, lengths, letters[where] if len(flat) else np.zeros(0, bool)
 
 
+#: Words hashed at once; bounds memory.
+AT_ONCE = 50_000
+
+
 def gram_buckets(words: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and word number of each n-gram of the lower-cased words, with a mark at both ends.
 
     Characters that are no letters count as marks, so that "dog" and "dog," share
     most n-grams.
     """
+    if len(words) > AT_ONCE:
+        parts = [gram_buckets(words[k : k + AT_ONCE], orders, buckets) for k in range(0, len(words), AT_ONCE)]
+        owners = [owner + np.int32(k * AT_ONCE) for k, (_, owner) in enumerate(parts)]
+        return np.concatenate([bucket for bucket, _ in parts]), np.concatenate(owners)
     lower = [w.lower() for w in words]
     flat, lengths, letters = codes(lower)
     n = int(lengths.sum() + 2 * len(words))
@@ -42,8 +50,8 @@ def gram_buckets(words: list[str], orders: tuple[int, ...], buckets: int) -> tup
         h = (h ^ (h >> np.uint64(29))) * _MIX
         h = (h ^ (h >> np.uint64(32))) % np.uint64(buckets)
         same = owner[: n - order + 1] == owner[order - 1 :]
-        found.append(h[same].astype(np.int64))
-        owners.append(owner[: n - order + 1][same])
+        found.append(h[same].astype(np.int32))
+        owners.append(owner[: n - order + 1][same].astype(np.int32))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     return np.concatenate(found), np.concatenate(owners)

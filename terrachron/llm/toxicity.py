@@ -13,7 +13,7 @@ training documents and learns from the highest window of each.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +65,8 @@ class Words:
     def __init__(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.word_bucket = np.zeros(1, np.int64)
-        self.grams = np.zeros(0, np.int64)
-        self.gram_owner = np.zeros(0, np.int64)
+        self.grams = np.zeros(0, np.int32)
+        self.gram_owner = np.zeros(0, np.int32)
 
     def number(self, texts: list[str], most: int | None = None) -> list[np.ndarray]:
         known, met, rows = self.known, len(self.known), []
@@ -80,7 +80,7 @@ class Words:
             gram, owner = chars.gram_buckets(fresh, ORDERS, CHAR_BUCKETS)
             order = np.argsort(owner, kind="stable")
             gram, owner = gram[order], owner[order]
-            self.grams, self.gram_owner = np.r_[self.grams, gram], np.r_[self.gram_owner, owner + met]
+            self.grams, self.gram_owner = np.r_[self.grams, gram], np.r_[self.gram_owner, owner + np.int32(met)]
         return rows
 
 
@@ -261,7 +261,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
     network.p["word"][:, 0] = ratio / 2
     begin = np.searchsorted(words.gram_owner, np.arange(len(words.word_bucket)))
     size = np.searchsorted(words.gram_owner, np.arange(len(words.word_bucket)), side="right") - begin
-    grams = [words.grams[spread(begin[u], size[u])] for u in map(np.unique, rows)]
+    grams = (np.unique(words.grams[spread(begin[u], size[u])]) for u in map(np.unique, rows))
     hint = log_ratio(grams, marks, CHAR_BUCKETS)
     network.p["char"][:, 0], network.p["hint"][:] = hint / 2, hint / 2
     index, owner = windows(rows)
@@ -291,7 +291,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
     return network.p
 
 
-def log_ratio(found: list[np.ndarray], marks: np.ndarray, size: int) -> np.ndarray:
+def log_ratio(found: Iterable[np.ndarray], marks: np.ndarray, size: int) -> np.ndarray:
     """Log of the shares of toxic and other documents that have a bucket, less for buckets of few."""
     held = np.zeros((2, size))
     for own, mark in zip(found, marks):
