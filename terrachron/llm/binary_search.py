@@ -23,7 +23,7 @@ from terrachron.llm.bpe import spread
 from terrachron.session import materialize
 
 K = 10
-SHARD_ROWS = 20_000
+SHARD_ROWS = 10_000
 QUERY_BLOCK = 4_000
 #: Candidates held at once in a task; bounds memory, not results.
 CANDIDATES = 2_000_000
@@ -82,6 +82,7 @@ class Index:
             return best
         query_words, parts = codes.view(np.uint64), self.segments(codes)
         active = np.arange(len(ids))
+        limit = bound.copy()  # of each query: nothing farther can be among its k best
         for radius in range(max(b - a for a, b in self.ranges) + 1):
             for part, (order, offsets), (a, b) in zip(parts, self.tables, self.ranges):
                 if radius > b - a:
@@ -95,25 +96,23 @@ class Index:
                     step = np.cumsum(sizes) // CANDIDATES
                     for cut in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(step)) + 1):
                         rows = order[spread(begin[cut], sizes[cut])]
-                        best = self.merge(best, np.repeat(who[cut], sizes[cut]), rows, ids, query_words, k)
+                        best = self.merge(best, np.repeat(who[cut], sizes[cut]), rows, ids, query_words, k, limit)
+                        found = np.bincount(best[0], minlength=len(ids))
+                        full = found >= k
+                        limit[full] = np.minimum(limit[full], best[2][np.cumsum(found)[full] - 1])
             covered = self.count * (radius + 1) - 1
-            found = np.bincount(best[0], minlength=len(ids))
-            last = np.full(len(ids), np.iinfo(np.int64).max)
-            full = found >= k
-            ends = np.cumsum(found)
-            last[full] = best[2][ends[full] - 1]
-            active = active[np.minimum(last, bound)[active] > covered]
+            active = active[limit[active] > covered]
             if not len(active):
                 break
         return best
 
-    def merge(self, best, who, rows, ids, query_words, k):
+    def merge(self, best, who, rows, ids, query_words, k, limit):
         """The k best of what is held and the new candidates, each pair once."""
-        new = self.ids[rows] != ids[who]
-        who, rows = who[new], rows[new]
-        key = np.unique(who * len(self.ids) + rows)
-        who, rows = key // len(self.ids), key % len(self.ids)
-        far = np.bitwise_count(query_words[who] ^ self.words[rows]).sum(axis=1, dtype=np.int64)
+        far = np.zeros(len(who), np.int64)
+        for word in range(self.words.shape[1]):
+            far += np.bitwise_count(query_words[who, word] ^ self.words[rows, word])
+        new = np.flatnonzero((far <= limit[who]) & (self.ids[rows] != ids[who]))
+        who, rows, far = who[new], rows[new], far[new]
         who, rows, far = (np.concatenate(p) for p in zip(best, (who, rows, far)))
         order = np.lexsort([rows, self.ids[rows], far, who])
         who, rows, far = who[order], rows[order], far[order]
@@ -157,7 +156,9 @@ def top_k(
         return pa.table({"query_id": pa.array(ids[who], pa.int64()), "neighbor_id": pa.array(index.ids[found], pa.int64()), "distance": pa.array(far.astype(np.int32))})
 
     def search(asked_: DataFrame, spread_rows: DataFrame) -> DataFrame:
-        left, right = spread_rows.groupBy("shard", "block"), asked_.groupBy("shard", "block")
+        # as many partitions as pairs of shard and block: small inputs, but much work for each row
+        keys = (shards * blocks, "shard", "block")
+        left, right = (d.repartition(*keys).groupBy("shard", "block") for d in (spread_rows, asked_))
         return left.cogroup(right).applyInArrow(meet, "query_id long, neighbor_id long, distance int")
 
     sharded = rows.withColumn("shard", deal(shards, 0))
