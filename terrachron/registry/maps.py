@@ -63,12 +63,32 @@ def _(t):
     return t.polylines().withColumns(box).select("id", "osm_id", *box)
 
 
-@query("simplify_job")
+_THIN = 50.0
+# A line is split at its farthest vertex as long as that is beyond the tolerance, so it keeps one
+# vertex for each split besides its ends. The rectangles are all thinner than the
+# tolerance; they keep their corners.
+_POINT = "{{'x': x0 + {i} * q, 'y': y0 + ({i} * {i}) % 7 * q}}"
+_SIMPLIFIED = f"""WITH RECURSIVE spans AS (
+      SELECT l_orderkey AS id, row_number() OVER () AS ln, l_partkey AS osm_id, CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS x0, CAST(l_partkey AS DOUBLE) AS y0,
+        CAST(0 AS BIGINT) AS a, CAST(l_linenumber + 1 AS BIGINT) AS b FROM lineitem
+      UNION ALL SELECT id, ln, osm_id, q, x0, y0, unnest([a, m]) AS a, unnest([m, b]) AS b FROM (
+        SELECT *, a + list_position(far, list_max(far)) AS m FROM (
+          SELECT *, list_transform(range(a + 1, b), lambda i: list_transform([{{'px': {_POINT.format(i='i')}.x - pa.x, 'py': {_POINT.format(i='i')}.y - pa.y}}], lambda p:
+              list_transform([greatest(0, least(1, (p.px * dx + p.py * dy) / CASE WHEN dx * dx + dy * dy = 0 THEN 1 ELSE dx * dx + dy * dy END))], lambda w:
+                sqrt((p.px - w * dx) * (p.px - w * dx) + (p.py - w * dy) * (p.py - w * dy)))[1])[1]) AS far FROM (
+            SELECT *, pb.x - pa.x AS dx, pb.y - pa.y AS dy FROM (SELECT *, {_POINT.format(i='a')} AS pa, {_POINT.format(i='b')} AS pb FROM spans WHERE b - a > 1)))
+        WHERE list_max(far) > {_THIN}))
+    SELECT id, osm_id, CAST(2 + (count(*) - 1) // 2 AS INTEGER) AS vertices, CAST(0 AS DOUBLE) AS area FROM spans GROUP BY id, ln, osm_id
+    UNION ALL SELECT c_custkey, c_custkey, 5, round((abs(c_acctbal) / 100 + 1) * 5, 4) FROM customer"""
+
+
+@query("simplify_job", "", _SIMPLIFIED)
 def _(t):
     lines = t.polylines().select("id", "osm_id", "geometry")
     areas = t.rects().select("id", "osm_id", "geometry")
-    both = shapes.simplify(lines.unionByName(areas), 50.0)
-    return both.select("id", "osm_id", geo.vertex_count(C("geometry")).alias("vertices"), geo.area(C("geometry")).alias("area"))
+    both = shapes.simplify(lines.unionByName(areas), _THIN)
+    area = F.round(geo.area(C("geometry")), 4).alias("area")
+    return both.select("id", "osm_id", geo.vertex_count(C("geometry")).alias("vertices"), area)
 
 
 def clearance():
@@ -86,11 +106,12 @@ def _(t):
     return shapes.label_points(rows).select("id", "geometry.gtype", (clearance() >= best).alias("is_centre"))
 
 
-@query("batch_udfs", "rects", "SELECT id, name, TRUE AS is_inside FROM rects")
+# The label point lies on the long middle line, at the best distance from the outline: half the shorter side.
+@query("batch_udfs", "rects", "SELECT id, name, round(least(w, h) / 2, 0) AS clearance FROM rects")
 def _(t):
     thin = shapes.simplify(t.rects().select("id", "name", "geometry"), 0.5)
     placed_ = shapes.label_points(thin.withColumn("outline", C("geometry")))
-    return placed_.select("id", "name", (clearance() > 0).alias("is_inside"))
+    return placed_.select("id", "name", F.round(clearance(), 0).alias("clearance"))
 
 
 @query(
