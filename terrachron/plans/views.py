@@ -105,10 +105,13 @@ def lines_view(
 
 
 def label_view(areas: DataFrame, points: DataFrame | None = None) -> DataFrame:
-    """Label points of named polygons, with the points of the same theme."""
+    """Label points of named polygons, with the points of the same theme; points have no area."""
     labels = label_points(named(areas.filter("geometry IS NOT NULL")))
     if points is not None:
-        same = points.filter("geometry IS NOT NULL").select(*labels.columns)
+        has = set(points.columns)
+        same = points.filter("geometry IS NOT NULL").select(
+            *[F.col(f.name) if f.name in has else F.lit(None).cast(f.dataType).alias(f.name) for f in labels.schema]
+        )
         labels = labels.unionByName(same)
     order = [F.col(c).asc_nulls_last() for c in ("type", "name", "start_date") if c in labels.columns]
     return first_per_key(labels, ["id", "source", "osm_id"], order)

@@ -69,6 +69,28 @@ def test_build_resumes_and_opens_published_sources(spark):
     assert pyramid.build_all(spark, {}, root, only=names[1:2]) == names[1:2]  # its source is a published view
 
 
+def test_every_view_of_the_catalogue_is_built(spark):
+    elements = Tables(spark, "/root/testdata/sf0.001").tagged().limit(500).withColumns(
+        {"member": (F.col("osm_id") + 1).cast("long"), "role": F.lit("outer"), "me_tags": F.col("tags")}
+    )
+    x, y, side = F.col("x"), F.col("y"), (F.col("osm_id") % 50) * 300.0 + 1
+    track = geo.line(F.array(geo.vertex(x, y), geo.vertex(x + 500, y)))
+    square = geo.rectangle(x, y, side, side)
+    shapes = {"point": geo.point(x, y), "polygon": square}
+    layers = {}
+    for kind in {layer.geometry for layer in LAYERS.values()}:
+        names = [n for n, layer in LAYERS.items() if layer.geometry == kind]
+        shaped = elements.withColumn("geometry", shapes.get(kind, track))
+        layers.update(load_layers(shaped, work_path(spark, f"layers-{kind}"), names))
+    squares = elements.select(F.col("osm_id").alias("ogc_fid"), F.lit("lake").alias("name"), square.alias("geometry"))
+    layers.update({n: squares for n in ("land_polygons", "ne_10m_lakes", "ne_10m_lakes_europe", "ne_10m_lakes_north_america")})
+    root = work_path(spark, "catalogue")
+    names = [v.name for v in pyramid.catalogue()]
+    assert pyramid.build_all(spark, layers, root, ["name:en"]) == names
+    assert all(publish.is_published(spark, root, n) for n in names)
+    assert pyramid.build_all(spark, layers, root, ["name:en"], resume=True) == []
+
+
 def test_publish_rejects_duplicates_and_keeps_the_old_view(spark):
     root = work_path(spark, "publish")
     good = spark.range(5).withColumn("v", F.lit("a"))
