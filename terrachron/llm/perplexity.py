@@ -10,6 +10,8 @@ come back to the block, so traffic follows distinct n-grams and not running text
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,9 @@ from terrachron.session import materialize
 ORDER = 5
 #: Marks that no word can hold.
 BEGIN, END = "\n", " "
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
+#: Distinct words a task holds while counting; bounds memory, not results.
+MEMORY_WORDS = 500_000
 #: Documents above this quantile of trusted text of their language are rejected.
 QUANTILE = 0.995
 #: Languages with fewer trusted documents to measure use the quantile of all of them.
@@ -29,14 +33,32 @@ MIN_MEASURED = 50
 
 
 def count_grams(trusted: DataFrame, text_col: str = "text") -> DataFrame:
-    """Counts of the longest n-gram that ends at each character: ``gram``, ``a``."""
-    words = trusted.select(F.explode(common.words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("word"))
-    words = words.groupBy("word").agg(F.count("*").alias("n"))
-    marked = F.concat(F.lit(BEGIN), "word", F.lit(END))
-    ends = F.sequence(F.lit(2), F.length(marked))
-    gram = lambda j: F.substring(marked, F.greatest(F.lit(1), j - (ORDER - 1)), F.least(F.lit(ORDER), j))
-    grams = words.select("n", F.explode(F.transform(ends, gram)).alias("gram"))
-    return grams.groupBy("gram").agg(F.sum("n").alias("a"))
+    """Counts of the longest n-gram that ends at each character: ``gram``, ``a``.
+
+    A task counts its words first and then their n-grams, so that few rows are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+        for part in common.slices(batches):
+            for text in part.column("text").to_pylist():
+                words.update(common.split_words(text))
+            if len(words) > MEMORY_WORDS:
+                yield grams_of(words)
+                words = Counter()
+        yield grams_of(words)
+
+    def grams_of(words: dict[str, int]) -> pa.RecordBatch:
+        grams: dict[str, int] = {}
+        for word, n in words.items():
+            marked = f"{BEGIN}{word}{END}"
+            for j in range(2, len(marked) + 1):
+                gram = marked[max(0, j - ORDER) : j]
+                grams[gram] = grams.get(gram, 0) + n
+        return pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
+
+    rows = trusted.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("a"))
 
 
 def discounts(table: DataFrame) -> dict[int, tuple[float, float, float]]:
