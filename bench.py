@@ -37,7 +37,7 @@ HEADLINE = [
     "element_presence",
     "stateful_retry",
 ]
-RUNS = int(os.environ.get("BENCH_RUNS", "1"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def run_once(build, spark, folder: str) -> float:

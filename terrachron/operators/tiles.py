@@ -28,8 +28,8 @@ def dispatch_bands(requests: DataFrame, bands: DataFrame) -> DataFrame:
     return requests.join(small, "layer").filter(F.col("z").between(F.col("lo"), F.col("hi")))
 
 
-def tiles_of_box(df: DataFrame, zooms: Sequence[int]) -> DataFrame:
-    """All tiles that meet min_lon, min_lat, max_lon, max_lat, at every zoom.
+def ranges_of_box(df: DataFrame, zooms: Sequence[int]) -> DataFrame:
+    """Ranges ``_x0`` to ``_x1`` and ``_y0`` to ``_y1`` of tiles that meet min_lon, min_lat, max_lon, max_lat, at every zoom.
 
     Boxes over the antimeridian are taken in two halves.
     """
@@ -58,11 +58,15 @@ def tiles_of_box(df: DataFrame, zooms: Sequence[int]) -> DataFrame:
             "_y1": tiles.tile_y(F.col("_s") + tiles.CORNER, z),
         }
     )
-    return _tiles_in_ranges(ranges, df.columns)
+    return ranges.filter((F.col("_x0") <= F.col("_x1")) & (F.col("_y0") <= F.col("_y1")))
+
 
+def tiles_of_box(df: DataFrame, zooms: Sequence[int]) -> DataFrame:
+    """All tiles of geographic boxes, as rows."""
+    return _tiles_in_ranges(ranges_of_box(df, zooms), df.columns)
 
-def _tiles_in_ranges(ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
-    whole = ranges.filter((F.col("_x0") <= F.col("_x1")) & (F.col("_y0") <= F.col("_y1")))
+
+def _tiles_in_ranges(whole: DataFrame, columns: Sequence[str]) -> DataFrame:
     by_x = whole.withColumn("x", F.explode(F.sequence("_x0", "_x1")))
     return by_x.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).select(*columns, "z", "x", "y")
 
@@ -73,6 +77,10 @@ def tiles_of_features(df: DataFrame, zooms: Sequence[int] | None = None) -> Data
     Zooms come from the list, or from the columns ``lo`` and ``hi`` of the row.
     A box that ends exactly on a tile edge touches the next tile too.
     """
+    return _tiles_in_ranges(_ranges_of_features(df, zooms), df.columns)
+
+
+def _ranges_of_features(df: DataFrame, zooms: Sequence[int] | None) -> DataFrame:
     zoom = (
         F.explode(F.array(*[F.lit(z) for z in zooms])) if zooms else F.explode(F.sequence("lo", "hi"))
     )
@@ -86,12 +94,28 @@ def tiles_of_features(df: DataFrame, zooms: Sequence[int] | None = None) -> Data
             "_y1": tiles.metre_tile_y(F.col("ymin"), z),
         }
     )
-    return _tiles_in_ranges(ranges, df.columns)
+    return ranges.filter((F.col("_x0") <= F.col("_x1")) & (F.col("_y0") <= F.col("_y1")))
 
 
 def features_on_tiles(df: DataFrame, wanted: DataFrame, zooms: Sequence[int]) -> DataFrame:
-    """Feature and tile pairs for a table of wanted tiles (z, x, y)."""
-    return tiles_of_features(df, zooms).join(wanted.select("z", "x", "y").distinct(), ["z", "x", "y"])
+    """Feature and tile pairs for a table of wanted tiles (z, x, y).
+
+    The tiles of a feature are not listed. At a level where its range is at most two cells wide and
+    high it meets the ancestors of the wanted tiles, and the range decides. So a feature
+    makes four rows at most at any zoom, and a tile one for each level above it.
+    """
+    ranges = _ranges_of_features(df, zooms)
+    wide = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    ranges = ranges.withColumn("_up", F.when(wide <= 0, 0).otherwise(F.floor(F.log2(wide)) + 1).cast("int"))
+    for axis in "xy":
+        first, last = (F.expr(f"shiftright(_{axis}{end}, _up)") for end in "01")
+        ranges = ranges.withColumn(f"_c{axis}", F.explode(F.sequence(first, last)))
+    tiles_ = wanted.select("z", "x", "y").distinct()
+    tiles_ = tiles_.withColumn("_up", F.explode(F.sequence(F.lit(0), F.col("z").cast("int"))))
+    tiles_ = tiles_.withColumns({f"_c{axis}": F.expr(f"shiftright({axis}, _up)") for axis in "xy"})
+    met = ranges.join(tiles_, ["z", "_up", "_cx", "_cy"])
+    inside = F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))
+    return met.filter(inside).select(*df.columns, "z", "x", "y")
 
 
 def tile_features(df: DataFrame, max_zoom: int | None, zooms: Sequence[int] | None = None) -> DataFrame:
@@ -137,20 +161,19 @@ def composite_tiles(features: DataFrame, value, page_rows: int = 10_000) -> Data
 def expand_prefixes(df: DataFrame, zooms: Sequence[int]) -> DataFrame:
     """Distinct ``z/x`` prefixes of each tile, its parents and its children.
 
-    Children are counted on the shortened x, so the work follows the number of
+    ``df`` has z and x, or z and ranges ``_x0`` to ``_x1``, as prefixes do not need y. Children are counted on the shortened x, so the work follows the number of
     prefixes and not the number of tiles.
     """
     wanted = F.explode(F.array(*[F.lit(z) for z in sorted(set(zooms))]))
-    rows = df.select("z", F.col("x").cast("long").alias("x")).distinct()
-    rows = rows.select("z", "x", wanted.alias("to_z"))
-    up = F.expr("shiftright(x, greatest(z - to_z, 0))")
-    low = F.expr("shiftleft(x, greatest(to_z - z, 0))")
-    high = F.expr("shiftleft(x + 1, greatest(to_z - z, 0)) - 1")
+    first, last = ("_x0", "_x1") if "_x0" in df.columns else ("x", "x")
+    rows = df.select("z", *[F.col(c).cast("long").alias(n) for c, n in ((first, "_first"), (last, "_last"))]).distinct()
+    rows = rows.select("z", "_first", "_last", wanted.alias("to_z"))
+    above = F.col("to_z") <= F.col("z")
+    up = {c: F.expr(f"shiftright({c}, greatest(z - to_z, 0))") for c in ("_first", "_last")}
+    low = F.expr("shiftleft(_first, greatest(to_z - z, 0))")
+    high = F.expr("shiftleft(_last + 1, greatest(to_z - z, 0)) - 1")
     bounds = rows.withColumns(
-        {
-            "_low": F.when(F.col("to_z") <= F.col("z"), up).otherwise(low),
-            "_high": F.when(F.col("to_z") <= F.col("z"), up).otherwise(high),
-        }
+        {"_low": F.when(above, up["_first"]).otherwise(low), "_high": F.when(above, up["_last"]).otherwise(high)}
     )
     # x up to 99 counts singly, up to 999 by tens, beyond by hundreds.
     ranges = []

@@ -310,7 +310,7 @@ def _(t):
     stream = t.spark.readStream.schema(changed.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     ingest.append_batches(
         stream,
-        lambda rows: tile_ops.expand_prefixes(tile_ops.tiles_of_box(rows, [9]), _EXPAND_ZOOMS),
+        lambda rows: tile_ops.expand_prefixes(tile_ops.ranges_of_box(rows, [9]), _EXPAND_ZOOMS),
         f"{root}/out",
         f"{root}/checkpoint",
     )

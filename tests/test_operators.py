@@ -187,3 +187,18 @@ def test_language_update(spark):
     assert math.isclose(first.first().xmax, 10.0)
     second = languages.update_languages(first, found, 1, "2021-01-01 00:00:00")
     assert {r.key_name: r.is_new for r in second.collect()} == {"name:es": False, "name:fr": True}
+
+
+def test_tile_join_lists_no_tiles(spark):
+    """A feature over a whole zoom meets its tiles without a row for each; results equal the listing."""
+    from terrachron.operators import tiles as tile_ops
+
+    world = 20_037_508.0
+    boxes = [(1, -world + 1, -world + 1, world - 1, world - 1), (2, 10.0, 10.0, 20.0, 20.0), (3, -5e6, 1e6, 7e6, 2e6), (4, None, None, None, None)]
+    df = spark.createDataFrame(boxes, "id int, xmin double, ymin double, xmax double, ymax double")
+    wanted = spark.createDataFrame([(z, x * 3 % (1 << z), x * 7 % (1 << z)) for z in (0, 3, 6) for x in range(60)], "z int, x int, y int")
+    pairs = tile_ops.features_on_tiles(df, wanted, [0, 3, 6]).select("id", "z", "x", "y")
+    listed = tile_ops.tiles_of_features(df, [0, 3, 6]).join(wanted.distinct(), ["z", "x", "y"]).select("id", "z", "x", "y")
+    assert sorted(pairs.collect()) == sorted(listed.collect())
+    far = tile_ops.features_on_tiles(df.filter("id = 1"), spark.createDataFrame([(18, 5, 9)], "z int, x int, y int"), [18])
+    assert far.count() == 1  # its listing would have 2 ** 36 rows
