@@ -167,7 +167,7 @@ def test_mapping_moves_no_rows(spark):
     plan = mapping.map_elements(df)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan and "Generate inline" in plan
     rows = spark.createDataFrame([("way", 1, {"highway": "primary", "foo": "bar"}), ("way", 2, {}), ("way", 3, None)], "type string, osm_id long, tags map<string,string>")
-    assert {(r.osm_id, r["class"], r.type_value, r.layer) for r in mapping.map_elements(rows).collect()} == {(1, "highway", "primary", "transport_lines")}
+    assert {(r.osm_id, r["class"], r.type_value, r.layer) for r in mapping.map_elements(rows).collect()} == {(1, "highway", "primary", n) for n in ("transport_areas", "transport_lines")}
     assert mapping.map_elements(rows, ["no_such_layer"]).count() == 0
 
 
