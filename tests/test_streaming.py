@@ -2,10 +2,11 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from terrachron.operators.changes import apply_changes
+from terrachron.operators.changes import advance_retries, apply_changes
 from terrachron.operators.refresh import GroupedView
 from terrachron.session import work_path
 from terrachron.streaming import ingest
+from terrachron.streaming.retries import stream_retries
 
 SCHEMA = "type string, osm_id long, version int, action string, changeset long, sequence int"
 
@@ -68,3 +69,36 @@ def test_refresh_replaces_touched_parts_only(spark):
     assert 1 <= len(parts) <= 2 and sorted(view.read().collect()) == sorted(build(edited).collect())
     kept = {p: t for p, t in old.items() if not any(f"part={k}/" in p for k in parts)}
     assert kept.items() <= files_below(path).items()
+
+
+def test_retries_as_a_stream_equal_the_batch(spark):
+    """Four runs; elements are missed by several changesets, settle, and are missed again."""
+    key = "changeset long, type string, osm_id long"
+    missing = [[(c, "way", i) for c in (1, 2) for i in range(12) if (i + c + run) % 3 == 0] for run in range(4)]
+    settled = [[("way", i) for i in range(12) if (i + run) % 7 == 0] for run in range(4)]
+    shares = [(1, 4.0)]  # that of changeset 2 is unknown
+    state = spark.createDataFrame([], f"{key}, retry_count int, max_retries int, status string")
+    root, events = work_path(spark, "retries"), "run long, kind string, changeset long, type string, osm_id long, missing_pct double"
+    for run in range(4):
+        pending = [(r.changeset, r.type, r.osm_id) for r in state.filter("status = 'pending'").collect()]
+        rows = [(run, "missing", *k, dict(shares).get(k[0])) for k in missing[run]]
+        rows += [(run, "run", *k, dict(shares).get(k[0])) for k in pending if k not in missing[run]]
+        rows += [(run, "settled", None, *e, None) for e in settled[run]]
+        spark.createDataFrame(rows, events).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        after = advance_retries(
+            state, spark.createDataFrame(missing[run], key), spark.createDataFrame(settled[run], "type string, osm_id long"),
+            spark.createDataFrame(shares, "changeset long, missing_pct double"),
+        )
+        state = spark.createDataFrame(after.collect(), after.schema)
+        stream = spark.readStream.schema(events).parquet(f"{root}/in")
+        query = (
+            stream_retries(stream).writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint")
+            .foreachBatch(lambda df, batch: df.write.mode("append").parquet(f"{root}/out")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    seen = {}
+    for r in sorted(spark.read.parquet(f"{root}/out").collect(), key=lambda r: r.run):
+        seen[(r.changeset, r.type, r.osm_id)] = (r.retry_count, r.status)
+    got = {k: v for k, v in seen.items() if v[1] != "settled"}
+    assert got == {(r.changeset, r.type, r.osm_id): (r.retry_count, r.status) for r in state.collect()}
+    assert {s for _, s in got.values()} >= {"pending"} and len(got) > 5
