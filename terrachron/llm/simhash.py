@@ -102,7 +102,8 @@ def components_of(fps: DataFrame, most: int = DISTANCE, blocks: int = BLOCKS) ->
     at = at.select("fp", "copies", "grid", F.col("e").bitwiseAND(F.col("mask")).alias("cell"))
     cells = at.groupBy("grid", "cell").agg(F.max(F.struct("copies", "fp")).alias("top"), F.count("*").alias("n"))
     cells = cells.where("n > 1").select("grid", "cell", F.col("top.fp").alias("pivot"))
-    shared = materialize(at.join(cells, ["grid", "cell"]).select("grid", "cell", "fp", "pivot"), "cells")
+    # Spark's size estimate does not see that rows are exploded by grid, so neither side may be broadcast
+    shared = materialize(at.join(cells.hint("merge"), ["grid", "cell"]).select("grid", "cell", "fp", "pivot"), "cells")
 
     near = distance(embedding(F.col("fp")), embedding(F.col("pivot"))) <= most
     stars = shared.where((F.col("fp") != F.col("pivot")) & near & (distance(F.col("fp"), F.col("pivot")) <= most))
