@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from terrachron.session import work_path
 
 
-def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _remove(df: DataFrame, path: str) -> None:
+def remove(df: DataFrame, path: str) -> None:
     jvm = df.sparkSession._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     first, second = edges[a].cast("long"), edges[b].cast("long")
     pairs = edges.where(first != second).select(F.greatest(first, second).alias("u"), F.least(first, second).alias("v")).distinct()
-    pairs, path = _write(pairs, "edges")
+    pairs, path = write(pairs, "edges")
     before = None
     while True:
         state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -41,8 +41,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        following, fresh = _write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        _remove(pairs, path)
+        following, fresh = write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove(pairs, path)
         pairs, path = following, fresh
     # now every edge leads from a node to the smallest of its component
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

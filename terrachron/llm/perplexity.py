@@ -17,13 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrachron.llm import common
+from terrachron.llm import common, graph
 from terrachron.session import materialize
 
 ORDER = 5
 #: Marks that no word can hold.
 BEGIN, END = "\n", " "
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 38_000_000
 #: Distinct words a task holds while counting; bounds memory, not results.
 MEMORY_WORDS = 500_000
 #: Documents above this quantile of trusted text of their language are rejected.
@@ -83,7 +83,7 @@ def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
     The empty n-gram holds the number of symbols as ``alpha``. Counts of orders below
     the longest are numbers of different characters before, except at a word's begin.
     """
-    top = materialize(count_grams(trusted, text_col).withColumn("order", F.length("gram")), "grams")
+    top, top_path = graph.write(count_grams(trusted, text_col).withColumn("order", F.length("gram")), "grams")
     tables = [top.where(F.col("order") == ORDER)]
     for order in range(ORDER - 1, 0, -1):
         shorter = tables[-1].groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("a"))
@@ -92,7 +92,7 @@ def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
     whole = tables[0]
     for table in tables[1:]:
         whole = whole.unionByName(table)
-    whole = materialize(whole, "counts")
+    whole, whole_path = graph.write(whole, "counts")
     cut = discounts(whole)
 
     def discount(a: Column) -> Column:
@@ -110,7 +110,10 @@ def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
     symbols = whole.where("order = 1").agg(F.count("*").cast("double").alias("n"))
     size = symbols.select(F.lit("").alias("gram"), F.col("n").alias("size"))
     known = known.join(size, "gram", "left").select("gram", F.coalesce("alpha", "size").alias("alpha"), "gamma")
-    return materialize(known, "model")
+    model = materialize(known, "model")
+    graph.remove(top, top_path)
+    graph.remove(whole, whole_path)
+    return model
 
 
 def top_grams(words) -> set[str]:
