@@ -28,8 +28,6 @@ BLOCK_CHARS = 38_000_000
 MEMORY_WORDS = 500_000
 #: Documents above this quantile of trusted text of their language are rejected.
 QUANTILE = 0.995
-#: Languages with fewer trusted documents to measure use the quantile of all of them.
-MIN_MEASURED = 50
 
 
 def count_grams(trusted: DataFrame, text_col: str = "text") -> DataFrame:
@@ -225,10 +223,7 @@ def classify(
     scores = materialize(score(docs, model, lang_col, id_col, text_col), "perplexities")
     measured = scores.where("perplexity is not null").join(common.small(trusted.where(common.held_out("doc_id"))), "doc_id", "left_semi")
     level = lambda: F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = measured.groupBy("lang").agg(level().alias("own"), F.count("*").alias("n"))
-    by_lang = by_lang.where(F.col("n") >= MIN_MEASURED).select("lang", "own")
-    pooled = measured.agg(level().alias("pooled"))
-    found = scores.join(by_lang, "lang", "left").crossJoin(F.broadcast(pooled))  # one row
-    threshold = F.coalesce("own", "pooled")
-    kept = F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
-    return found.select("doc_id", "lang", "n_symbols", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    by_lang = measured.groupBy("lang").agg(level().alias("threshold"))
+    found = scores.join(by_lang, "lang", "left")
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return found.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", kept.alias("kept"))

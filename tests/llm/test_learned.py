@@ -203,6 +203,22 @@ def test_classifier_separates_labels(spark, odd, nothing):
         assert perplexity.classify(frame, labels.limit(0)).where("kept").count() == frame.count()
 
 
+def test_rare_languages_are_judged_by_themselves(spark):
+    """German with a few trusted documents, Spanish with none beside a large English part."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("n_chars between 300 and 4000")
+    good = spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 1")
+    rows = {r.doc_id: r.lang for r in docs.join(good, "doc_id").select("doc_id", "lang").collect() if r.lang in ("en", "de", "es")}
+    german = [d for d, lang in rows.items() if lang == "de"]
+    held = [r.doc_id for r in spark.createDataFrame([(d,) for d in german], "doc_id long").where(common.held_out("doc_id")).collect()]
+    trusted = [d for d, lang in rows.items() if lang == "en"] + held[:3]
+    marks = spark.createDataFrame([(d, 1) for d in trusted], "doc_id long, quality int")
+    chosen = docs.join(spark.createDataFrame([(d,) for d in rows], "doc_id long"), "doc_id")
+    found = {r.doc_id: r for r in perplexity.classify(chosen, marks).collect()}
+    own = max(found[d].perplexity for d in held[:3])
+    assert all(math.isclose(found[d].threshold, own, rel_tol=1e-6) and found[d].kept == (found[d].perplexity <= own) for d in german)
+    assert all(found[d].threshold is None and found[d].kept for d, lang in rows.items() if lang == "es")
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     """Planted cases: noise, a boilerplate line, exact and near copies, a shared passage."""
     source = spark.read.parquet(f"{FOLDER}/documents.parquet").where("lang = 'en'")
