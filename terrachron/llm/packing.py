@@ -21,8 +21,6 @@ from terrachron.llm import bpe, common
 WINDOW = 2048
 #: Id written after each document.
 END_ID = 1
-#: Pieces packed at once in a task; a larger share is packed in several rounds.
-ROUND_PIECES = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -63,9 +61,11 @@ class OpenWindows:
         return self.stacks[capacity].pop()
 
 
-def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int], int]:
-    """Sequence and offset of each piece, and the number of sequences; lengths must not rise."""
-    open_, sequences, offsets, used = OpenWindows(window), [], [], 0
+def best_fit(lengths: list[int], window: int, open_: OpenWindows | None = None, used: int = 0) -> tuple[list[int], list[int], int]:
+    """Sequence and offset of each piece, and the number of sequences; lengths must not rise.
+
+    A share can come in parts: ``open_`` and ``used`` are what earlier parts left."""
+    open_, sequences, offsets = open_ or OpenWindows(window), [], []
     for length in lengths:
         capacity = open_.tightest(length)
         if capacity < 0:
@@ -107,31 +107,18 @@ def assign(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Place pieces: adds ``sequence_id`` and ``offset``.
 
     Pieces are dealt out by a hash of all their columns and packed longest first, ties by
-    document and start. Sequence numbers are unique, not consecutive.
+    document and start. A task holds only its open windows, so a share of any size is packed
+    as one. Sequence numbers are unique, not consecutive.
     """
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = TaskContext.get().partitionId() << 40, []
+        first, open_, used = TaskContext.get().partitionId() << 40, OpenWindows(window), 0
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= ROUND_PIECES:
-                out, used = place(held, number)
-                number += used
-                held = []
-                yield out
-        if held:
-            yield place(held, number)[0]
-
-    def place(held: list[pa.RecordBatch], number: int) -> tuple[pa.RecordBatch, int]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        # a round of several batches is in order already, as the whole partition is sorted
-        sequences, offsets, used = best_fit(table.column("length").to_pylist(), window)
-        arrays = [table.column(c).combine_chunks() for c in columns]
-        arrays += [pa.array(np.array(sequences, np.int64) + number), pa.array(offsets, pa.int64())]
-        return pa.RecordBatch.from_arrays(
-            [a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays], [*columns, "sequence_id", "offset"]
-        ), used
+            sequences, offsets, used = best_fit(batch.column("length").to_pylist(), window, open_, used)
+            arrays = [batch.column(c) for c in columns]
+            arrays += [pa.array(np.array(sequences, np.int64) + first), pa.array(offsets, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, "sequence_id", "offset"])
 
     dealt = pieces.select(*columns).repartition(*columns)
     ordered = dealt.sortWithinPartitions(dealt["length"].desc(), "doc_id", "start", "ids_crc32", "doc_tokens")

@@ -119,6 +119,21 @@ def test_best_fit_takes_the_tightest():
     assert (sequences, offsets, used) == ([0, 1, 0, 1, 1], [0, 0, 6, 5, 8], 2)
 
 
+def test_a_large_share_is_packed_as_one(spark):
+    """Long pieces come first, and the short ones that fill their windows 150,000 rows later."""
+    rows = spark.range(300_000).select(
+        F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 2 == 0, 1400).otherwise(648).cast("long").alias("length"),
+        F.lit(0).cast("long").alias("ids_crc32"), F.lit(1).cast("long").alias("doc_tokens"),
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = packing.assign(rows).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("low"), F.countDistinct("offset").alias("pieces"))
+        assert found.groupBy("n", "low", "pieces").count().collect() == [(2048, 0, 2, 150_000)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def brute_components(texts):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
