@@ -13,6 +13,8 @@ deal passages out to shards, and passages meet only in their anchor's shard:
    by anchor and passage; later copies of a passage go, single anchors vanish.
 2. Different passages with one anchor come with their words. What no other passage of
    the anchor shares, to the left or right, is cut off.
+   Anchors of very many passages (found in a sample, which only chooses the way) are cut
+   into single windows that meet by their own hash, so no anchor fills a task.
 3. A suffix automaton over the shard's passages, in order of documents, streams each
    passage for matching statistics before adding what is new of it. Maximal spans
    that match ``length`` words or more are removed.
@@ -37,6 +39,9 @@ ANCHOR = 7
 #: Word hashes and passages a task holds at once; bounds memory, not results.
 MEMORY_WORDS = 500_000
 SHARD_PASSAGES = 20_000
+#: Anchors with so many passages in one of so many documents are taken window by window.
+HOT_PASSAGES = 25
+HOT_SAMPLE = 16
 BREAK_CHARS = " \t\n\x0b\x0c\r"
 _WORD_AND_BREAK = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,14 +104,49 @@ def copies_here(gram: np.ndarray, passage: np.ndarray, doc: np.ndarray, start: n
     return order[(doc[order] != doc[first]) | (start[order] != start[first])]
 
 
-def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+def window_hashes(hashes: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows that begin at these words."""
+    found = np.zeros(len(first), np.uint64)
+    for k in range(length):
+        found = found * _MIX + mix(hashes[first + k])
+    return mix(found)
+
+
+def single_windows(hashes: np.ndarray, ends: np.ndarray, found: tuple[np.ndarray, ...], hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs as by ``runs``; those of a hot anchor are cut into windows, each with a key of its own in place of the anchor."""
+    number, start, windows, place, gram, passage = found
+    cut = np.isin(gram, hot)
+    if not cut.any():
+        return found
+    n = windows[cut]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    own = [np.repeat(c[cut], n) for c in (number, start, place, gram)]
+    begin = own[1] + step
+    window = window_hashes(hashes, np.r_[0, ends[:-1]][own[0]] + begin, length)
+    key = mix(window ^ own[3].view(np.uint64))
+    singles = (own[0], begin, np.ones(len(step), np.int64), own[2] - step, key.view(np.int64), window.view(np.int64))
+    return tuple(np.r_[c[~cut], s] for c, s in zip(found, singles))
+
+
+def hot_anchors(docs: DataFrame, length: int, anchor: int, least: int = HOT_PASSAGES, one_of: int = HOT_SAMPLE) -> np.ndarray:
+    """Anchors with ``least`` rows or more in a sample of documents, sorted. Whether an anchor is among them changes no result."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)
+    counts = anchored(sample, length, anchor).where("shape > 0").groupBy("anchor").agg(F.count("*").alias("n"))
+    return np.array(sorted(r["anchor"] for r in counts.where(F.col("n") >= least).select("anchor").collect()), np.int64)
+
+
+def anchored(docs: DataFrame, length: int, anchor: int, hot: np.ndarray | None = None) -> DataFrame:
     """One row for each run of windows: ``anchor, passage, doc_id, start, shape``.
 
+    Rows of a ``hot`` anchor are single windows. Equal windows have equal anchors, so all of them are cut alike.
+
     Copies of a passage within a slice of text are combined before the shuffle: all but the first
     are known to be later copies. They get a negative shape and, instead of the anchor,
     a key that spreads them, so that a very frequent anchor brings few rows together.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if hot is None else hot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in common.slices(batches):
@@ -115,7 +155,8 @@ def anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             words = [common.split_words(t) for t in part.column("text").to_pylist()]
             ends = np.cumsum([len(w) for w in words])
             hashes = np.fromiter((known[w] for row in words for w in row), np.uint64, int(ends[-1]) if len(ends) else 0)
-            number, start, windows, place, gram, passage = runs(hashes, ends, length, anchor)
+            found = runs(hashes, ends, length, anchor)
+            number, start, windows, place, gram, passage = single_windows(hashes, ends, found, shared.value, length)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[number]
             shape = windows * 64 + place
             later = copies_here(gram, passage, ids, start)
@@ -352,12 +393,17 @@ def shared_spans(docs: DataFrame, firsts: DataFrame, length: int, anchor: int) -
     return dealt.mapInArrow(shards, "doc_id long, start int, stop int")
 
 
+def first_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """Later copies and first passages, as ``later_copies`` gives them, with hot anchors cut into windows."""
+    return later_copies(anchored(docs, length, anchor, hot_anchors(docs, length, anchor)), length)
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Spans of words to remove from ``docs`` (``doc_id, text``): ``doc_id, start, stop``; they may overlap."""
     if not 0 < anchor < length:
         raise ValueError("an anchor is shorter than a window")
     known = docs.where("doc_id is not null")
-    found = materialize(later_copies(anchored(known, length, anchor), length), "passages")
+    found = materialize(first_passages(known, length, anchor), "passages")
     copies = found.where("anchor is null").select("doc_id", "start", "stop")
     return copies.unionByName(shared_spans(docs, found.where("anchor is not null"), length, anchor))
 

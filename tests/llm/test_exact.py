@@ -250,6 +250,23 @@ def test_substring(spark, letters):
     assert {f.doc_id: tuple(f)[1:] for f in found} == brute_substring(rows)
 
 
+def test_substring_with_a_phrase_everywhere(spark):
+    """A phrase of nine words in 1,500 documents with different surroundings, some of them shared."""
+    r = random.Random(8)
+    phrase = [f"common{k}" for k in range(9)]
+    word = lambda: f"w{r.randrange(5000)}"
+    sides = [([word() for _ in range(12)], [word() for _ in range(12)]) for _ in range(40)]
+    rows = []
+    for i in range(1500):
+        a, b = ([word() for _ in range(12)], [word() for _ in range(12)]) if i % 3 else (sides[i % 40][0][r.randrange(8) :], sides[i * 7 % 40][1])
+        rows.append((i, " ".join([word() for _ in range(6)] + a + phrase + b + [word() for _ in range(6)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    found = {f.doc_id: tuple(f)[1:] for f in substring.deduplicate(frame).collect()}
+    assert found == brute_substring(rows) and sum(f[1] for f in found.values()) > 1000
+    given = substring.first_passages(frame).where("anchor is not null").groupBy("anchor").count()
+    assert (given.agg(F.max("count")).first()[0] or 0) < 500
+
+
 def test_substring_odd_rows(odd, nothing):
     assert substring.deduplicate(nothing).count() == 0
     want = brute_substring([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None])
