@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terrachron.llm import binary_search, bpe, graph, lines, packing, quality, queries, simhash, substring
+import corpus_pipeline
+from terrachron.llm import binary_search, bpe, graph, lines, packing, quality, queries, shingles, simhash, substring
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 FOLDER = "/root/testdata/sf0.001"
@@ -198,6 +199,34 @@ def test_components_of_close_fingerprints(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_similar_shingles_against_all_pairs(spark, odd, nothing):
+    """Words changed here and there in long texts, so that similarity goes from under 0.8 to 1."""
+    r = random.Random(6)
+    rows = []
+    for group in range(12):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randint(60, 500))]
+        for k in range(8):
+            own = [f"x{r.randrange(3000)}" if r.random() < k * 0.006 else w for w in base]
+            rows.append((group * 8 + k, " ".join(own)))
+    found = dict(shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+    linked_ = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if both >= 0.8 * (len(grams[i]) + len(grams[j]) - both):
+                linked_ += grams[i] != grams[j]
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert linked_ > 30 and found == dict(enumerate(root))
+    # 8 and 9 share 56 of 68 shingles
+    assert sorted(str(x.doc_id) for x in corpus_pipeline.near_dedup(spark, odd, "").collect()) == sorted("1 4 5 7 8 10 11 None None 12".split())
+    assert corpus_pipeline.near_dedup(spark, nothing, "").count() == 0
+    frame = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, frame, "").collect()} == set(root)
+
+
 def test_graph_components(spark):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(5, 5), (None, 3)]
