@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from terrachron.llm import common
 from terrachron.session import materialize
 
-MAX_RATIO = 0.1
+MAX_RATIO = 0.02
 #: Lines on fewer pages than this are never boilerplate, however small the host.
 MIN_PAGES = 5
 #: Line keys of all hosts that are broadcast together, at most; beyond, pages are joined by host and salt.

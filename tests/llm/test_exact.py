@@ -61,6 +61,20 @@ def test_repeated_words_by_hand(spark):
     assert {r.doc_id: r.n_repeat_words for r in quality.measure(frame).collect()} == {1: 10, 2: 7, 3: 0}
 
 
+def test_boilerplate_on_a_part_of_a_source_goes(spark):
+    """A line on 5 to 10 % of each of five sources goes; one on four pages, and lines of single pages, stay."""
+    rows = []
+    for share in (5, 6, 7, 8, 10):
+        for k in range(200):
+            text = f"Own line {share} of {k}."
+            text += "\nMore of our offers." if k * share // 100 != (k - 1) * share // 100 else ""
+            text += "\nSeldom seen." if k < 4 else ""
+            rows.append((share * 1000 + k, text, f"s{share}"))
+    found = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    count = lambda line: found.where(F.col("text").contains(line)).count()
+    assert (count("More of our offers"), count("Seldom seen"), count("Own line")) == (0, 20, 1000)
+
+
 def test_lines_by_salt_equal_broadcast(odd, spark):
     pages = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("host"))
     drop = lines.boilerplate(pages.select("host", F.transform(F.split("text", "\n"), lines.line_key).alias("keys")), 0.1, 2)
