@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrachron.llm import binary_search, bpe, common, language, lexical, lines, packing, perplexity, quality, simhash, substring, toxicity
+from terrachron.llm import binary_search, bpe, common, language, lexical, lines, negatives, packing, perplexity, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,9 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_lexical", lexical.sql())
 def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_hard_negatives", negatives.sql())
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, folder, "embeddings"), lambda i: i % 100 == 0, label)

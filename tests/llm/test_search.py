@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from terrachron.llm import lexical
+from terrachron.llm import lexical, negatives
 
 TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -76,3 +76,48 @@ def test_lexical_in_passes_and_empty(spark, monkeypatch):
     assert lexical.rank(frame.limit(0), asked).count() == 0
     assert lexical.rank(frame, asked.limit(0)).count() == 0
     assert lexical.rank(frame.where("doc_id < 0"), asked.where("item_id < 0")).count() == 0
+
+
+def brute_negatives(rows, every):
+    """Every anchor against every row, in whole numbers."""
+    kept = set()
+    for vec_id, vector, label in rows:
+        if vec_id is not None and vector is not None and label is not None and all(x is not None and math.isfinite(x) for x in vector):
+            kept.add((vec_id, label, tuple(max(-(1 << 24), min(1 << 24, math.floor(256 * x))) for x in vector)))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    found = []
+    for anchor, label, vector in kept:
+        if anchor % every:
+            continue
+        scored = sorted((-dot(vector, q), i, other == label) for i, other, q in kept)
+        for p, i, _ in [x for x in scored if x[2] and x[1] != anchor][:5]:
+            fits = [x for x in scored if not x[2] and 80 * -p <= 100 * -x[0] <= 100 * -p][:5]
+            found += [(anchor, i, rank, x[1], -p, -x[0]) for rank, x in enumerate(fits, 1)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("shard_rows, leaf, fan, block", [(10_000, 64, 16, 50_000), (40, 4, 2, 3), (7, 1, 2, 50_000)])
+def test_negatives_against_brute_force(spark, monkeypatch, shard_rows, leaf, fan, block):
+    """Clusters, copies under many ids and labels, ties, and odd rows, with tiles and shards of any size."""
+    for name, value in (("LEAF", leaf), ("FAN", fan), ("QUERY_BLOCK", block)):
+        monkeypatch.setattr(negatives, name, value)
+    draw = random.Random(3)
+    centres = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(4)]
+    rows = [(k, [c + draw.gauss(0, 0.3) for c in centres[k % 4]], (k + (k % 3 == 0)) % 4) for k in range(160)]
+    rows += [(200 + k, rows[5][1], k % 2) for k in range(60)]  # one vector, two labels, many ids
+    rows += [(300 + k, [round(x) for x in rows[k][1]], k % 3) for k in range(40)]  # equal scores
+    nan, inf = float("nan"), float("inf")
+    rows += [(400, None, 1), (401, [nan] * 6, 1), (402, [inf] + [0.0] * 5, 1), (403, [1.0, None, 0, 0, 0, 0], 1), (404, [1.0] * 6, None)]
+    rows += [(None, [1.0] * 6, 1), (410, [0.0] * 6, 2), (420, [1e9, -1e9, 0, 0, 0, 0], 3), (430, [-1e9, 1e9, 0, 0, 0, 0], 3), (440, [1e9, 0.5, 0, 0, 0, 0], 2)]
+    rows += [(450, [1.0, 2.0], 1), (460, [], 1), (0, rows[0][1], rows[0][2]), (461, [-x for x in centres[0]], 7)]
+    rows = [(i, v and [x if x is None else float(x) for x in v], label) for i, v, label in rows]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, rank int").repartition(3)
+    found = negatives.mine(frame, lambda i: i % 10 == 0, F.col("label"), shard_rows=shard_rows)
+    got = sorted(map(tuple, found.collect()))
+    assert got == brute_negatives(rows, 10) and len(got) > 300
+
+
+def test_negatives_without_rows(spark):
+    frame = spark.createDataFrame([(100, [1.0, 2.0], 1), (101, [1.0, 2.0], 2)], "vec_id long, embedding array<float>, label int")
+    mine = lambda f: negatives.mine(f, lambda i: i % 100 == 0, F.col("label")).count()
+    assert mine(frame.limit(0)) == 0 and mine(frame) == 0 and mine(frame.where("vec_id = 101")) == 0
