@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrachron.llm import binary_search, bpe, common, language, lexical, lines, negatives, packing, perplexity, quality, simhash, substring, toxicity
+from terrachron.llm import binary_search, bpe, common, language, lexical, lines, negatives, packing, perplexity, pieces, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +110,15 @@ def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, folder, "embeddings"), lambda i: i % 100 == 0, label)
+
+
+def piece_model() -> str:
+    """Where the public SentencePiece model lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), piece_model())
