@@ -142,8 +142,9 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, switch: float) -> np.ndarray:
         value = (value[:, :, None] + inside[:, :, at].transpose(2, 0, 1)).max(axis=1)
         value = value - value.max(axis=1, keepdims=True)
     running = enter.T + given[0]
-    back = np.zeros((BLOCK, labels, total), np.uint8)
-    own = np.arange(labels, dtype=np.uint8)[:, None]
+    kind = np.min_scalar_type(max(1, labels - 1))
+    back = np.zeros((BLOCK, labels, total), kind)
+    own = np.arange(labels, dtype=kind)[:, None]
     for t in range(1, BLOCK):
         best, top = running.max(axis=0) - switch, running.argmax(axis=0)
         back[t] = np.where(best > running, top, own)
@@ -162,7 +163,7 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, switch: float) -> np.ndarray:
             came = before[at]
             stay = came[np.arange(len(at)), head] >= came.max(axis=1) - switch
             last[at - 1] = np.where(stay, head, came.argmax(axis=1))
-    path = np.zeros((BLOCK, total), np.uint8)
+    path = np.zeros((BLOCK, total), kind)
     path[BLOCK - 1] = last
     columns = np.arange(total)
     for t in range(BLOCK - 1, 0, -1):

@@ -30,7 +30,7 @@ MEMORY_WORDS = 500_000
 QUANTILE = 0.995
 
 
-def count_grams(trusted: DataFrame, text_col: str = "text") -> DataFrame:
+def count_grams(trusted: DataFrame, text_col: str = "text", memory_words: int = MEMORY_WORDS) -> DataFrame:
     """Counts of the longest n-gram that ends at each character: ``gram``, ``a``.
 
     A task counts its words first and then their n-grams, so that few rows are shuffled.
@@ -41,7 +41,7 @@ def count_grams(trusted: DataFrame, text_col: str = "text") -> DataFrame:
         for part in common.slices(batches):
             for text in part.column("text").to_pylist():
                 words.update(common.split_words(text))
-            if len(words) > MEMORY_WORDS:
+            if len(words) > memory_words:
                 yield grams_of(words)
                 words = Counter()
         yield grams_of(words)
@@ -74,14 +74,14 @@ def discounts(table: DataFrame) -> dict[int, tuple[float, float, float]]:
     return found
 
 
-def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
+def train(trusted: DataFrame, text_col: str = "text", memory_words: int = MEMORY_WORDS) -> DataFrame:
     """The model as a table: ``gram``, ``alpha`` (its discounted share in its context) and ``gamma``
     (what its context leaves to shorter ones, for the n-gram as a context); each may be null.
 
     The empty n-gram holds the number of symbols as ``alpha``. Counts of orders below
     the longest are numbers of different characters before, except at a word's begin.
     """
-    top, top_path = graph.write(count_grams(trusted, text_col).withColumn("order", F.length("gram")), "grams")
+    top, top_path = graph.write(count_grams(trusted, text_col, memory_words).withColumn("order", F.length("gram")), "grams")
     tables = [top.where(F.col("order") == ORDER)]
     for order in range(ORDER - 1, 0, -1):
         shorter = tables[-1].groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("a"))
@@ -207,6 +207,8 @@ def classify(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
+    block_chars: int = BLOCK_CHARS,
+    memory_words: int = MEMORY_WORDS,
 ) -> DataFrame:
     """``doc_id``, ``lang``, ``n_symbols``, ``perplexity``, ``threshold``, ``kept`` of each row.
 
@@ -214,16 +216,17 @@ def classify(
     their text; the fifth gives the quantiles of each language. A document above its
     language's threshold is rejected. Without a threshold (no trusted text to measure), or without
     words, a document is kept. Repeated rows and labels change nothing but weights.
+    ``block_chars`` and ``memory_words`` bound what a task holds, and change no result but for rounding.
     """
     trusted = labels.where(labels[label_col] == 1).select(labels[id_col].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     trusted = materialize(trusted, "trusted")
     learned = common.small(trusted.where(~common.held_out("doc_id")))
     texts = common.documents(docs, id_col, text_col)
-    model = train(texts.join(learned, "doc_id", "left_semi"))
-    scores = materialize(score(docs, model, lang_col, id_col, text_col), "perplexities")
+    model = train(texts.join(learned, "doc_id", "left_semi"), memory_words=memory_words)
+    scores = materialize(score(docs, model, lang_col, id_col, text_col, block_chars), "perplexities")
     measured = scores.where("perplexity is not null").join(common.small(trusted.where(common.held_out("doc_id"))), "doc_id", "left_semi")
     level = lambda: F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = measured.groupBy("lang").agg(level().alias("threshold"))
-    found = scores.join(by_lang, "lang", "left")
+    found = scores.join(common.small(by_lang), "lang", "left")
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return found.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", kept.alias("kept"))

@@ -23,9 +23,10 @@ from terrachron.llm import chars, common
 from terrachron.llm.bpe import spread
 
 #: Labelled documents of each class learned from, those with the least hashes of their
-#: ids, and the words of each that training looks at; scoring has no such bounds.
+#: ids, and as many of these as together hold this many bytes of text, but one at least.
+#: Texts are whole; scoring has no such bounds.
 TRAIN_DOCS = 1200
-TRAIN_WORDS = 20_000
+TRAIN_BYTES = 8 << 20
 WINDOW = 128
 STRIDE = 64
 ROUNDS = 5
@@ -68,10 +69,10 @@ class Words:
         self.grams = np.zeros(0, np.int32)
         self.gram_owner = np.zeros(0, np.int32)
 
-    def number(self, texts: list[str], most: int | None = None) -> list[np.ndarray]:
+    def number(self, texts: list[str]) -> list[np.ndarray]:
         known, met, rows = self.known, len(self.known), []
         for text in texts:
-            words = common.split_words(text)[:most]
+            words = common.split_words(text)
             rows.append(np.array([known.setdefault(w, len(known)) for w in words], np.int64))
         fresh = [bare(w) for w in list(known)[met:]]
         if fresh:
@@ -89,7 +90,7 @@ def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([1 + max(0, -(-(len(r) - WINDOW) // STRIDE)) for r in rows], np.int64)
     sizes = (counts - 1) * STRIDE + WINDOW
     ends = np.cumsum(sizes)
-    flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
     for row, end, size in zip(rows, ends.tolist(), sizes.tolist()):
         flat[end - size : end - size + len(row)] = row
     text = np.repeat(np.arange(len(rows)), counts)
@@ -255,7 +256,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> dict:
         network.p["out"][:] = 0
         network.p["bias"][:] = -4.0 if not marks.sum() else 4.0
         return network.p
-    rows = words.number(texts, TRAIN_WORDS)
+    rows = words.number(texts)
     buckets = [words.word_bucket[np.unique(row)] for row in rows]
     ratio = log_ratio(buckets, marks, WORD_BUCKETS)
     network.p["word"][:, 0] = ratio / 2
@@ -308,8 +309,8 @@ def highest(score: np.ndarray, owner: np.ndarray, first: np.ndarray) -> np.ndarr
     return order[first]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """Parameters from a sample of labelled documents, ``most_docs`` of each class at most.
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+    """Parameters from a sample of labelled documents, ``most_docs`` and ``most_bytes`` of each class at most, texts whole.
 
     The sample is bounded and comes to the driver, where training runs. Null labels and
     labels other than 0 and 1 are left out. Without both classes all scores are alike.
@@ -321,8 +322,11 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, id_co
     # two classes times most_docs rows, so they may be broadcast
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_docs).drop("k")
-    cut = F.array_join(F.slice(common.words_of("text"), 1, TRAIN_WORDS), " ")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", cut.alias("text")).dropDuplicates(["doc_id"])
+    held = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max(F.octet_length("text")).alias("size"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    held = held.where((F.col("before") == 0) | (F.col("before") + F.col("size") <= most_bytes)).select("doc_id", "label")
+    rows = texts.join(F.broadcast(held), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     sample = sorted(rows.collect(), key=lambda x: x["doc_id"])
     return fit([x["text"] for x in sample], [x["label"] for x in sample])
 
