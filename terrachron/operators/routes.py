@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrachron.functions.dates import decimal_to_iso
 from terrachron.functions.routes import (
@@ -13,7 +13,7 @@ from terrachron.functions.routes import (
     slot_columns,
 )
 from terrachron.functions.text import empty_to_null, trimmed_upper
-from terrachron.operators.intervals import cut_segments, join_overlapping, new_segment_flag
+from terrachron.operators.intervals import join_overlapping, new_segment_flag
 from terrachron.session import materialize
 from terrachron.operators.skew import (
     HotGroups,
@@ -25,6 +25,7 @@ from terrachron.operators.skew import (
     paged_lists,
     top_per_key,
 )
+from terrachron.operators.sweep import events, first_at_any_time, presence, signed_hash, toggles
 
 ROUTE_COLUMNS = [
     "osm_id",
@@ -38,7 +39,8 @@ ROUTE_COLUMNS = [
     "direction",
     "tags",
 ]
-SEGMENT = ["way_id", "start_decdate", "end_decdate"]
+#: Routes of a way with the same values are repeats of each other.
+IDENTITY = ["ref", "network", "direction"]
 
 
 def set_hash(*columns: Column) -> Column:
@@ -65,30 +67,73 @@ def route_sources(multilines: DataFrame, lines: DataFrame) -> DataFrame:
     return members.unionByName(ways)
 
 
-def active_routes(
-    sources: DataFrame, keep_open_start: bool = False, hot: HotGroups | None = None
+def mark_repeats(sources: DataFrame) -> DataFrame:
+    """With ``_valid`` (the range is not empty), ``_repeats`` (valid routes of the way with the same
+    ref, network and direction) and ``_same`` (rows of the way with the same osm_id)."""
+    valid = F.col("start_decdate").isNull() | F.col("end_decdate").isNull() | (F.col("start_decdate") < F.col("end_decdate"))
+    return sources.withColumn("_valid", valid).withColumns(
+        {
+            "_repeats": F.count(F.when(F.col("_valid"), 1)).over(Window.partitionBy("way_id", *IDENTITY)),
+            "_same": F.count(F.lit(1)).over(Window.partitionBy("way_id", "osm_id")),
+        }
+    )
+
+
+def reigns(marked: DataFrame) -> DataFrame:
+    """Routes with the ranges in which they count, ``_shared`` if their osm_id may have several.
+
+    Of routes of a way with the same ref, network and direction only the first, by osm_id, type, name, operator
+    and route, counts at any time.
+    """
+    columns = ["way_id", *ROUTE_COLUMNS, "highway", "start_decdate", "end_decdate"]
+    alone = marked.filter("_valid AND _repeats = 1").select(*columns, (F.col("_same") > 1).alias("_shared"))
+    last = [c for column in ("osm_id", "type", "name", "operator", "route") for c in (F.col(column).isNull().alias(f"_no_{column}"), column)]
+    entries = F.array_sort(F.map_entries("tags")).alias("_entries")
+    value = F.struct(*last, *IDENTITY, "network_wikidata", "highway", entries)
+    key = F.struct(*[x for c in IDENTITY for x in (F.col(c).isNull().alias(f"no_{c}"), F.coalesce(F.col(c), F.lit("")).alias(c))])
+    repeats = marked.filter("_valid AND _repeats > 1").select("way_id", key.alias("_key"), value.alias("_route"), "start_decdate", "end_decdate")
+    first = first_at_any_time(repeats, ["way_id", "_key"], "_route")
+    fields = [F.col(f"_route.{c}").alias(c) if c != "tags" else F.map_from_entries("_route._entries").alias(c) for c in [*ROUTE_COLUMNS, "highway"]]
+    return alone.unionByName(first.select("way_id", *fields, "start_decdate", "end_decdate", F.lit(True).alias("_shared")))
+
+
+def route_segments(
+    marked: DataFrame, counted: DataFrame, keep_open_start: bool = False, hot: HotGroups | None = None
 ) -> DataFrame:
-    """Routes of dated ways in each segment between known dates, without repeats.
+    """One row per way and segment between known dates: counts, highway and a hash of the route set.
 
-    A repeat is a route with the same ref, network and direction in the same
-    segment; the lowest osm_id stays.
+    A sweep over the dates of a way, with two events for each reign. Segments without
+    routes are left out, as is the one before the first date unless ``keep_open_start``.
     """
-    segments = cut_segments(sources, "way_id", keep_open_start=keep_open_start, hot=hot)
-    pairs = join_overlapping(segments, sources, "way_id", hot=hot).drop("seg")
-    pairs = pairs.drop("start_decdate", "end_decdate").withColumnsRenamed(
-        {"seg_start": "start_decdate", "seg_end": "end_decdate"}
+    parts = signed_hash(trimmed_upper(F.col("ref")), trimmed_upper(F.col("network")))
+    hashes = [f"_h{k}" for k in range(len(parts))]
+    own = F.when(~F.col("_shared") & F.col("osm_id").isNotNull(), 1).otherwise(0).alias("_own")
+    steps = counted.select(*["way_id", "start_decdate", "end_decdate", own, *[p.alias(h) for p, h in zip(parts, hashes)]])
+    steps = events(steps, ["way_id", "_own", *hashes])
+    steps = steps.select("way_id", "at", F.col("sign").alias("_rows"), *[(F.col(c) * F.col("sign")).alias(c) for c in ("_own", *hashes)])
+    # An osm_id with several reigns counts once: its first and last presence are the events.
+    shared = events(counted.filter("_shared AND osm_id IS NOT NULL"), ["way_id", "osm_id"])
+    once = toggles(shared, ["way_id", "osm_id"]).select("way_id", "at", F.col("sign").alias("_own"))
+    # Dates of routes that never count there cut all the same.
+    cuts = marked.filter("NOT _valid OR _repeats > 1").select("way_id", F.explode(F.array("start_decdate", "end_decdate")).alias("at"))
+    cuts = cuts.filter("at IS NOT NULL").distinct()
+    every = steps.unionByName(once, allowMissingColumns=True).unionByName(cuts, allowMissingColumns=True)
+    sums = ["_rows", "_own", *hashes]
+    deltas = every.groupBy("way_id", "at").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+    swept = OrderedGroups(deltas, ["way_id"], [F.col("at").asc_nulls_first()], hot)
+    for c in sums:
+        swept = swept.running_sum(c, f"_all{c}")
+    swept = swept.lead("at", "end_decdate").row_number("seg").frame()
+    held = F.col("_all_rows") > 0
+    segments = swept.filter(held if keep_open_start else held & F.col("at").isNotNull()).select(
+        "way_id",
+        F.col("at").alias("start_decdate"),
+        "end_decdate",
+        F.col("_all_own").alias("num_routes"),
+        F.concat_ws(":", "_all_rows", *[f"_all{h}" for h in hashes]).alias("routeset_hash"),
+        "seg",
     )
-    order = [F.col(c).asc_nulls_last() for c in ("osm_id", "type", "name", "operator", "route")]
-    return first_per_key(pairs, [*SEGMENT, "ref", "network", "direction"], order)
-
-
-def route_segments(active: DataFrame) -> DataFrame:
-    """One row per way and segment: counts, highway and a hash of the route set."""
-    return active.groupBy(*SEGMENT).agg(
-        F.count_distinct("osm_id").alias("num_routes"),
-        F.max("highway").alias("highway"),
-        set_hash(trimmed_upper(F.col("ref")), trimmed_upper(F.col("network"))).alias("routeset_hash"),
-    ).withColumns(
+    return with_highway(segments, counted, hot).withColumns(
         {
             "start_date": decimal_to_iso(F.col("start_decdate")),
             "end_date": decimal_to_iso(F.col("end_decdate")),
@@ -96,6 +141,26 @@ def route_segments(active: DataFrame) -> DataFrame:
     )
 
 
+def with_highway(segments: DataFrame, counted: DataFrame, hot: HotGroups | None = None) -> DataFrame:
+    """The greatest highway value of the routes in each segment.
+
+    Values are few on a way, whatever the number of routes: ranges are merged per value first.
+    """
+    marks = events(counted.filter("highway IS NOT NULL"), ["way_id", "highway"])
+    values = presence(marks, ["way_id", "highway"], hot)
+    numbered = segments.select("way_id", "seg", F.col("start_decdate").alias("seg_start"), F.col("end_decdate").alias("seg_end"))
+    there = join_overlapping(number_segments(numbered, hot), values, "way_id", hot=hot)
+    best = there.groupBy("way_id", "seg_start").agg(F.max("highway").alias("highway"))
+    best = best.withColumnRenamed("seg_start", "start_decdate")
+    return attach(segments.drop("seg"), best, ["way_id", "start_decdate"])
+
+
+def number_segments(segments: DataFrame, hot: HotGroups | None = None) -> DataFrame:
+    """Disjoint segments of ways numbered from 1, as overlaps want them."""
+    order = [F.col("seg_start").asc_nulls_first()]
+    return OrderedGroups(segments.select("way_id", "seg_start", "seg_end"), ["way_id"], order, hot).row_number("seg").frame()
+
+
 def merge_segments(segments: DataFrame, hot: HotGroups | None = None) -> DataFrame:
     """Join neighbouring segments of a way that carry the same route set.
 
@@ -176,8 +241,9 @@ def normalize_routes(
     sources = sources.drop("geometry")
     # A way has at most twice as many segments as routes.
     hot = HotGroups(sources, ["way_id"], max(1, group_rows(sources) // 2))
-    active = materialize(active_routes(sources, keep_open_start, hot), "active-routes")
-    periods = merge_segments(route_segments(active), hot)
+    marked = materialize(mark_repeats(sources), "marked-routes")
+    counted = materialize(reigns(marked), "route-reigns")
+    periods = merge_segments(route_segments(marked, counted, keep_open_start, hot), hot)
     periods = materialize(periods, "route-periods")
     dated_ways = sources.filter(
         F.col("start_decdate").isNotNull() | F.col("end_decdate").isNotNull()
@@ -196,15 +262,12 @@ def normalize_routes(
         "num_routes",
         "highway",
     )
-    in_first = periods.select(*HEADER, "first_start", "first_end").join(
-        active.withColumnsRenamed({"start_decdate": "_s", "end_decdate": "_e", "way_id": "_w"}).drop(
-            "highway"
-        ),
-        (F.col("way_id") == F.col("_w"))
-        & F.col("first_start").eqNullSafe(F.col("_s"))
-        & F.col("first_end").eqNullSafe(F.col("_e")),
-    )
-    dated_routes = in_first.select(*HEADER, *ROUTE_COLUMNS)
+    # Only the first segment of a period is expanded into its routes.
+    firsts = periods.select(*HEADER, F.col("first_start").alias("seg_start"), F.col("first_end").alias("seg_end"))
+    numbered = number_segments(firsts, hot)
+    reached = join_overlapping(numbered, counted.drop("highway", "_shared"), "way_id", hot=hot)
+    dated_routes = attach(reached.drop("seg", "start_decdate", "end_decdate", "seg_end"), firsts.drop("seg_end"), ["way_id", "seg_start"], "inner")
+    dated_routes = dated_routes.select(*HEADER, *ROUTE_COLUMNS)
     undated_routes = undated_periods.join(
         undated.select("way_id", *ROUTE_COLUMNS), "way_id"
     ).select(*HEADER, *ROUTE_COLUMNS)
