@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrachron.functions import geometry as geo, text, tiles
-from terrachron.operators import shapes, tiles as ops
+from terrachron.operators import clip, shapes, tiles as ops
 from terrachron.plans.serving import serving_bands
 from terrachron.registry.base import query
 from terrachron.session import work_path
@@ -279,6 +279,50 @@ def _(t):
     )
 
 
+_GRID = """g AS (SELECT *, x * size - {half} AS l, {half} - y * size AS t FROM (SELECT *, 2 * {half} / pow(2.0, z) AS size FROM pt)),
+  b AS (SELECT *, l - size * 0.0625 AS bl, t - size - size * 0.0625 AS bb, l + size + size * 0.0625 AS br, t + size * 0.0625 AS bt FROM g)""".format(half=HALF)
+
+
+def _snap(value: str) -> str:
+    return f"CAST(floor({value} / size * 2048 + 0.5) AS INTEGER)"
+
+
+@query(
+    "tile_clip_rings",
+    "",
+    f"""WITH {_tiles_sql([5, 8])}, {_GRID}, c AS (SELECT *, greatest(xmin, bl) AS cx0, least(xmax, br) AS cx1, greatest(ymin, bb) AS cy0, least(ymax, bt) AS cy1 FROM b),
+        s AS (SELECT osm_id, name, z, x, y, {_snap('(cx0 - l)')} AS x0, {_snap('(cx1 - l)')} AS x1, {_snap('(t - cy1)')} AS y0, {_snap('(t - cy0)')} AS y1 FROM c)
+        SELECT *, CAST((x1 - x0) * (y1 - y0) AS BIGINT) AS cells FROM s WHERE x1 > x0 AND y1 > y0""",
+)
+def _(t):
+    """Boxes cut to the buffered tile; those without area on the grid are gone."""
+    rows = clip.clip_to_tiles(placed(t), 9, [5, 8])
+    ring = F.flatten(F.flatten("grid"))
+    of = lambda axis, pick: pick(F.transform(ring, lambda v: v[axis]))
+    found = rows.select(
+        "osm_id", "name", "z", "x", "y", of("x", F.array_min).alias("x0"), of("x", F.array_max).alias("x1"), of("y", F.array_min).alias("y0"), of("y", F.array_max).alias("y1")
+    )
+    return found.withColumn("cells", ((C("x1") - C("x0")) * (C("y1") - C("y0"))).cast("long"))
+
+
+@query(
+    "tile_clip_lines",
+    "",
+    f"""WITH {_tiles_sql([5, 8])}, {_GRID},
+        e AS (SELECT *, greatest(CAST(0.0 AS DOUBLE), (bl - xmin) / (xmax - xmin), (bb - ymin) / (ymax - ymin)) AS t0, least(CAST(1.0 AS DOUBLE), (br - xmin) / (xmax - xmin), (bt - ymin) / (ymax - ymin)) AS t1 FROM b),
+        s AS (SELECT osm_id, z, x, y, {_snap('(xmin + t0 * (xmax - xmin) - l)')} AS from_x, {_snap('(t - (ymin + t0 * (ymax - ymin)))')} AS from_y,
+          {_snap('(xmin + t1 * (xmax - xmin) - l)')} AS to_x, {_snap('(t - (ymin + t1 * (ymax - ymin)))')} AS to_y FROM e WHERE t0 < t1)
+        SELECT * FROM s WHERE from_x <> to_x OR from_y <> to_y""",
+)
+def _(t):
+    """Diagonals cut to the buffered tile; those of one grid point are gone."""
+    boxes = placed(t)
+    diagonal = geo.line(F.array(geo.vertex(C("xmin"), C("ymin")), geo.vertex(C("xmax"), C("ymax"))))
+    line = clip.clip_to_tiles(boxes.withColumn("geometry", diagonal), 9, [5, 8]).withColumn("line", C("grid")[0][0])
+    ends = [(name, C("line")[at]) for name, at in (("from", 0), ("to", 1))]
+    return line.select("osm_id", "z", "x", "y", *[end[a].alias(f"{name}_{a}") for name, end in ends for a in "xy"])
+
+
 @query(
     "composite_tile",
     "",
