@@ -62,6 +62,77 @@ def _kept_vertices(
     return keep
 
 
+def _crossing(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of edges ``a`` to ``b`` of one owner that meet anywhere but in a shared vertex.
+
+    Edges lie in a grid whose cells are as large as they are, a power of two, so an edge covers four cells
+    at most, and looks for others at its own level and the coarser ones of its owner.
+    """
+    none = np.zeros(0, np.int64)
+    if len(a) < 2:
+        return none, none
+    low_x, high_x = np.minimum(x[a], x[b]), np.maximum(x[a], x[b])
+    low_y, high_y = np.minimum(y[a], y[b]), np.maximum(y[a], y[b])
+    span = np.maximum(np.maximum(high_x - low_x, high_y - low_y), 1e-9)
+    level = np.ceil(np.log2(span)).astype(np.int64)
+
+    def cells(edge: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the cells of edges at levels, and the edge of each."""
+        size = np.exp2(at)
+        x0, y0 = np.floor(low_x[edge] / size).astype(np.int64), np.floor(low_y[edge] / size).astype(np.int64)
+        wide, tall = (np.floor(h[edge] / size).astype(np.int64) - c + 1 for h, c in ((high_x, x0), (high_y, y0)))
+        place, which = _ranges(np.zeros(len(edge), np.int64), wide * tall)
+        keys = owner[edge][which].astype(np.uint64)
+        for part in (at[which], x0[which] + place % wide[which], y0[which] + place // wide[which]):
+            keys = (keys ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(32)
+        return keys, edge[which]
+
+    keys, held = cells(np.arange(len(a)), level)
+    order = np.argsort(keys, kind="stable")
+    keys, held = keys[order], held[order]
+    known = np.unique(np.stack([owner, level], axis=1), axis=0)
+    # levels of each owner from an edge's own one on
+    begin = np.searchsorted(known[:, 0], owner)
+    count = np.searchsorted(known[:, 0], owner, side="right") - begin
+    at, edge = _ranges(begin, count)
+    coarser = known[at, 1] >= level[edge]
+    asked, edge = cells(edge[coarser], known[at, 1][coarser])
+    first = np.searchsorted(keys, asked)
+    at, which = _ranges(first, np.searchsorted(keys, asked, side="right") - first)
+    p, q = np.minimum(edge[which], held[at]), np.maximum(edge[which], held[at])
+    apart = (p == q) | (owner[p] != owner[q])
+    for u, v in ((a, a), (a, b), (b, a), (b, b)):
+        apart |= (x[u[p]] == x[v[q]]) & (y[u[p]] == y[v[q]])
+    apart |= (low_x[p] > high_x[q]) | (low_x[q] > high_x[p]) | (low_y[p] > high_y[q]) | (low_y[q] > high_y[p])
+    p, q = p[~apart], q[~apart]
+
+    def side(i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return np.sign((x[j] - x[i]) * (y[k] - y[i]) - (x[k] - x[i]) * (y[j] - y[i]))
+
+    meets = (side(a[p], b[p], a[q]) * side(a[p], b[p], b[q]) <= 0) & (side(a[q], b[q], a[p]) * side(a[q], b[q], b[p]) <= 0)
+    pairs = np.unique(np.stack([p[meets], q[meets]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _without_crossings(shapes: _Coordinates, keep: np.ndarray) -> None:
+    """Put vertices back until no edge made by thinning crosses another edge of its geometry."""
+    ring_of = np.repeat(np.arange(len(shapes.ring_part)), np.diff(shapes.vertex_at))
+    row_of = shapes.part_row[shapes.ring_part]
+    while True:
+        at = np.flatnonzero(keep)
+        inside = ring_of[at[:-1]] == ring_of[at[1:]] if len(at) else np.zeros(0, bool)
+        a, b = at[:-1][inside], at[1:][inside]
+        known = np.isfinite(shapes.x[a] + shapes.y[a] + shapes.x[b] + shapes.y[b])
+        a, b = a[known], b[known]
+        p, q = _crossing(shapes.x, shapes.y, a, b, row_of[ring_of[a]])
+        edges = np.unique(np.r_[p, q])
+        edges = edges[b[edges] - a[edges] > 1]
+        if not len(edges):
+            return
+        keep |= _kept_vertices(shapes.x, shapes.y, a[edges], b[edges] + 1, 0.0, rounds=1)
+
+
 class _Coordinates:
     """Flat view of one geometry column."""
 
@@ -116,6 +187,7 @@ def _thinned(shapes: _Coordinates, tolerance: float, preserve: bool) -> pa.Array
     if preserve:
         # Keep the outline by its extreme vertices: two rounds of splits give four corners.
         keep |= _kept_vertices(shapes.x, shapes.y, begin[collapsed], end[collapsed], 0.0, rounds=2)
+        _without_crossings(shapes, keep)
         part_stays = np.ones(len(shapes.part_row), dtype=bool)
     else:
         ring_stays = ~collapsed
@@ -160,7 +232,8 @@ def simplify(
 ) -> DataFrame:
     """Thin every geometry by a distance in metres.
 
-    With ``preserve`` a polygon ring keeps at least four vertices. Without it a
+    With ``preserve`` a polygon ring keeps at least four vertices, and where thinning would make
+    edges of a geometry cross or touch, the vertices farthest off are put back. Without it a
     collapsed hole goes, and a polygon whose shells all collapse becomes NULL.
     """
     if tolerance <= 0:
