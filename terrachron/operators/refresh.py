@@ -29,10 +29,11 @@ def refresh_groups(
 
 
 class GroupedView:
-    """A stored view of independent key groups, in parts by a hash of the keys.
+    """A stored view of independent key groups, in partitions by a hash of the keys.
 
-    A refresh replaces only the parts with changed groups. Every part is a folder,
-    whose new rows are made aside before it is replaced.
+    A refresh replaces only the partitions with changed groups, by a dynamic partition
+    overwrite. Every partition it touches holds one row that is no group, so
+    that a partition without groups is replaced like any other.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], parts: int = 64):
@@ -47,10 +48,13 @@ class GroupedView:
         writer.partitionBy("part").parquet(self.path)
 
     def create(self, rows: DataFrame) -> None:
-        self._write(rows.withColumn("part", self._part()), "static")
+        self._write(rows.withColumns({"part": self._part(), "is_group": F.lit(True)}), "static")
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).filter("is_group").drop("is_group")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("part")
+        return self._stored().drop("part")
 
     def refresh(self, rows: DataFrame, changed: DataFrame, build: Callable[[DataFrame], DataFrame]) -> list[int]:
         """Bring the view up to date with ``rows`` after the groups in ``changed`` changed.
@@ -60,13 +64,13 @@ class GroupedView:
         """
         touched = materialize(changed.select(*self.keys).distinct(), "touched")
         parts = sorted(r["part"] for r in touched.select(self._part().alias("part")).distinct().collect())
-        stored = self.spark.read.parquet(self.path).filter(F.col("part").isin(parts))
+        if not parts:
+            return parts
+        stored = self._stored().filter(F.col("part").isin(parts))
         kept = stored.join(touched, same_keys(stored, touched, self.keys), "left_anti").drop("part")
         made = build(rows.join(touched, same_keys(rows, touched, self.keys), "left_semi"))
-        fresh = materialize(kept.unionByName(made).withColumn("part", self._part()), "parts")
-        self._write(fresh, "dynamic")
-        gone = set(parts) - {r["part"] for r in fresh.select("part").distinct().collect()}
-        for part in gone:  # parts that have no group any more
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/part={part}")
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        fresh = kept.unionByName(made).withColumns({"part": self._part(), "is_group": F.lit(True)})
+        marks = self.spark.createDataFrame([(p, False) for p in parts], "part int, is_group boolean")
+        # made aside: the rows kept are read from the partitions that are replaced
+        self._write(materialize(fresh.unionByName(marks, allowMissingColumns=True), "parts"), "dynamic")
         return parts

@@ -157,11 +157,9 @@ def _(t):
     root = work_path(t.spark, "ingest")
     rows = sequenced(t)
     rows.repartitionByRange(8, "sequence").write.parquet(f"{root}/diffs")
-    table = ingest.SnapshotTable(t.spark, f"{root}/state", buckets=8)
-    ingest.ingest_changes(
-        t.spark, f"{root}/diffs", rows.schema, table, f"{root}/checkpoint", ties=TIES, first_sequence=5, files_per_batch=3
-    )
-    return table.elements().select("osm_id", "version", "changeset", "part")
+    log = ingest.ChangeLog(t.spark, f"{root}/changes", ties=TIES)
+    ingest.ingest_changes(t.spark, f"{root}/diffs", rows.schema, log, f"{root}/checkpoint", first_sequence=5, files_per_batch=3)
+    return log.elements().select("osm_id", "version", "changeset", "part")
 
 
 @query(

@@ -7,11 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from terrachron.operators.changes import ELEMENT, newest_changes, overlay
-from terrachron.plans.publish import is_published, open_view, publish
+from terrachron.operators.changes import newest_changes
 
-#: Hidden from readers of the log by its first letter.
-BASE = "_base"
 CORRUPT = "_corrupt_record"
 
 
@@ -26,106 +23,39 @@ def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+class ChangeLog:
+    """Current elements from a table of changes, partitioned by batch.
 
-
-class SnapshotTable:
-    """Current elements as a compacted base and a log of changes.
-
-    A batch appends its own changes and reads nothing, so it costs what it holds. Readers
-    lay the log over the base. ``compact`` writes a new base beside the old one and
-    switches a pointer; ``vacuum`` then removes the batches in it. Deleted
-    elements stay as tombstones, so late changes cannot bring them back. A batch that is
-    run again replaces its own files.
+    A batch adds its own newest changes and reads nothing, so it costs what it holds; a batch that is run
+    again replaces its own partition. Readers take the newest row of each element over all
+    batches. Deletions stay in the table, so late changes cannot bring an element back.
     """
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        path: str,
-        buckets: int | None = None,
-        order: Sequence[str] = ("version",),
-        ties: Sequence[str] = (),
-    ):
-        """``buckets`` is the number of files of a base; by default Spark decides."""
-        self.spark, self.path, self.buckets, self.order, self.ties = spark, path, buckets, order, ties
-
-    def _log(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if self.batches() else None
-
-    def batches(self) -> list[int]:
-        """Batches in the log."""
-        if not _exists(self.spark, self.path):
-            return []
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
-        names = [f.getPath().getName() for f in found]
-        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
-
-    def compacted(self) -> int:
-        """Last batch in the base, -1 without one."""
-        if not is_published(self.spark, self.path, BASE):
-            return -1
-        first = open_view(self.spark, self.path, BASE).select("upto").first()
-        return -1 if first is None else first["upto"]
-
-    def rows(self) -> DataFrame:
-        """The newest row of every element, tombstones included."""
-        upto = self.compacted()
-        base = open_view(self.spark, self.path, BASE).drop("upto") if upto >= 0 else None
-        log = self._log()
-        if log is None:
-            if base is None:
-                raise FileNotFoundError(self.path)
-            return base
-        fresh = newest_changes(log.filter(F.col("batch") > upto).drop("batch"), self.order, self.ties)
-        return fresh if base is None else overlay(base, fresh, self.order, self.ties)
-
-    def elements(self) -> DataFrame:
-        """The elements that exist now."""
-        return self.rows().filter(F.col("action") != "delete").drop("action")
-
-    def merge(
-        self, changes: DataFrame, batch: int, order: Sequence[str] | None = None, ties: Sequence[str] | None = None
-    ) -> None:
-        """Add one batch of changes to the log."""
-        self.order, self.ties = order or self.order, self.ties if ties is None else ties
+    def __init__(self, spark: SparkSession, path: str, order: Sequence[str] = ("version",), ties: Sequence[str] = ()):
+        self.spark, self.path, self.order, self.ties = spark, path, list(order), list(ties)
+
+    def add(self, changes: DataFrame, batch: int) -> None:
         rows = newest_changes(changes, self.order, self.ties).withColumn("batch", F.lit(batch))
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch").parquet(self.path)
-
-    def compact(self) -> None:
-        """Write the base anew with all batches of the log; changes no element."""
-        known = self.batches()
-        if not known or known[-1] <= self.compacted():
-            return
-        rows = self.rows().withColumn("upto", F.lit(known[-1]))
-        dealt = rows.repartition(self.buckets, *ELEMENT) if self.buckets else rows.repartition(*ELEMENT)
-        publish(dealt, self.path, BASE, sort=ELEMENT)
-
-    def vacuum(self) -> None:
-        """Remove the batches that are in the base."""
-        upto = self.compacted()
-        for batch in self.batches():
-            if batch <= upto:
-                target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch}")
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+
+    def elements(self, up_to: int | None = None) -> DataFrame:
+        """The elements that exist after all batches, or after those up to a number."""
+        log = self.spark.read.parquet(self.path)
+        log = log if up_to is None else log.filter(F.col("batch") <= up_to)
+        newest = newest_changes(log, self.order, [*self.ties, "batch"])
+        return newest.filter(F.col("action") != "delete").drop("action", "batch")
 
 
 def ingest_changes(
     spark: SparkSession,
     source: str,
     schema: StructType | str,
-    table: SnapshotTable,
+    log: ChangeLog,
     checkpoint: str,
-    order: Sequence[str] = ("version",),
-    ties: Sequence[str] = (),
     first_sequence: int | None = None,
     files_per_batch: int = 1000,
 ) -> None:
-    """Apply all change files that have arrived since the last run.
+    """Add all change files that have arrived since the last run.
 
     ``first_sequence`` overrides where to begin; the checkpoint remembers what
     was read.
@@ -135,7 +65,7 @@ def ingest_changes(
     )
     if first_sequence is not None:
         stream = stream.filter(F.col("sequence") >= first_sequence)
-    run_available(stream, lambda rows, batch: table.merge(rows, batch, order, ties), checkpoint)
+    run_available(stream, log.add, checkpoint)
 
 
 def split_bad_records(

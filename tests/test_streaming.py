@@ -16,7 +16,7 @@ def test_stream_equals_batch_and_resumes(spark):
     rows = [("way", i % 40, i // 40 + 1, "delete" if i % 11 == 0 else "modify", i, i // 20) for i in range(400)]
     changes = spark.createDataFrame(rows, SCHEMA)
     root = work_path(spark, "stream")
-    table = ingest.SnapshotTable(spark, f"{root}/state", buckets=4)
+    table = ingest.ChangeLog(spark, f"{root}/state")
     # The later half arrives first.
     for half in (changes.filter("sequence >= 10"), changes.filter("sequence < 10")):
         half.repartition(3).write.mode("append").parquet(f"{root}/in")
@@ -26,7 +26,7 @@ def test_stream_equals_batch_and_resumes(spark):
     assert sorted(table.elements().select(columns).collect()) == sorted(batch.select(columns).collect())
     before = sorted(table.elements().select(columns).collect())
     last = spark.read.parquet(f"{root}/state").agg(F.max("batch")).first()[0]
-    table.merge(changes, last, ["version"])
+    table.add(changes, last)
     assert sorted(table.elements().select(columns).collect()) == before
 
 
@@ -34,27 +34,23 @@ def files_below(path):
     return {str(p): p.stat().st_mtime_ns for p in Path(path.removeprefix("file:")).rglob("*.parquet")}
 
 
-def test_small_batch_rewrites_no_old_file_and_compaction_changes_no_row(spark):
+def test_small_batch_rewrites_no_old_file(spark):
     rows = [("way", i % 40, i // 40 + 1, "delete" if i % 11 == 0 else "modify", i, 0) for i in range(400)]
     path = f"{work_path(spark, 'log')}/state"
-    table = ingest.SnapshotTable(spark, path, buckets=3)
-    table.merge(spark.createDataFrame(rows, SCHEMA), 0)
+    table = ingest.ChangeLog(spark, path)
+    table.add(spark.createDataFrame(rows, SCHEMA), 0)
     old = files_below(path)
-    table.merge(spark.createDataFrame([("way", 3, 99, "modify", 7, 1), ("way", 4, 99, "delete", 7, 1)], SCHEMA), 1)
+    first = sorted(table.elements().collect())
+    table.add(spark.createDataFrame([("way", 3, 99, "modify", 7, 1), ("way", 4, 99, "delete", 7, 1)], SCHEMA), 1)
     assert old.items() <= files_below(path).items() and len(files_below(path)) - len(old) <= 2
     columns = ["type", "osm_id", "version", "changeset"]
     before = sorted(table.elements().select(columns).collect())
     assert ("way", 3, 99, 7) in [tuple(r) for r in before] and 4 not in {r.osm_id for r in before}
-    table.compact()
-    assert table.compacted() == 1 and sorted(table.elements().select(columns).collect()) == before
-    table.vacuum()
-    assert table.batches() == [] and sorted(table.elements().select(columns).collect()) == before
-    # an old version of a deleted element stays dead; a batch in the base that runs again changes nothing
-    table.merge(spark.createDataFrame([("way", 4, 5, "modify", 8, 2)], SCHEMA), 2)
-    table.merge(spark.createDataFrame(rows, SCHEMA), 0)
+    # an old version of a deleted element stays dead; a batch that runs again changes nothing
+    table.add(spark.createDataFrame([("way", 4, 5, "modify", 8, 2)], SCHEMA), 2)
+    table.add(spark.createDataFrame(rows, SCHEMA), 0)
     assert sorted(table.elements().select(columns).collect()) == before
-    table.compact()
-    assert table.compacted() == 2 and sorted(table.elements().select(columns).collect()) == before
+    assert sorted(table.elements(up_to=0).collect()) == first
 
 
 def test_refresh_replaces_touched_parts_only(spark):
@@ -69,6 +65,9 @@ def test_refresh_replaces_touched_parts_only(spark):
     assert 1 <= len(parts) <= 2 and sorted(view.read().collect()) == sorted(build(edited).collect())
     kept = {p: t for p, t in old.items() if not any(f"part={k}/" in p for k in parts)}
     assert kept.items() <= files_below(path).items()
+    # a partition that has lost all its groups is replaced too
+    view.refresh(edited.filter("k < 0"), rows.filter("k < 40"), build)
+    assert sorted(r.k for r in view.read().collect()) == list(range(40, 50)) and view.refresh(edited, rows.limit(0), build) == []
 
 
 def test_retries_as_a_stream_equal_the_batch(spark):
