@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from terrachron.functions.geometry import to_degrees
+from terrachron.functions.geometry import meets_box, to_degrees
+from terrachron.plans.cluster import BOX_COLUMNS, clustered, in_box
 
-POINTER = "_current"
+#: One row for each table that was published: its folder is one of two that take turns.
+LOG = "_published"
+LOG_SCHEMA = "name string, build long, slot int, levels int"
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,81 +20,65 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(keys)).groupBy(*keys).count().filter("count > 1")
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+def _log(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/{LOG}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def _file_system(spark: SparkSession, path):
-    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+def _current(spark: SparkSession, root: str, name: str) -> Row | None:
+    """The last publication of a table."""
+    log = _log(spark, root)
+    if log is None:
+        return None
+    return log.filter(F.col("name") == name).agg(F.max_by(F.struct("build", "slot", "levels"), "build").alias("last")).first()["last"]
 
 
-def publish(
-    df: DataFrame,
-    root: str,
-    name: str,
-    unique: Sequence[str] = (),
-    sort: Sequence[str] = ("xmin", "ymin"),
-) -> None:
+def publish(df: DataFrame, root: str, name: str, unique: Sequence[str] = (), levels: int = 0) -> None:
     """Write ``name`` below ``root``; readers see the old table until the new one is complete.
 
-    Every table is a folder of its own, and a small pointer file names the current one. Only
-    the pointer is written anew, so there is a table at any moment, also on
-    object stores. The table before the current one stays for readers that have
-    it open; older ones are removed.
+    A table has two folders that take turns. The new rows overwrite the one that is not
+    current, are checked, and one row added to the log of publications then makes it current. The
+    table before stays for readers that have it open. The new table is rejected when
+    ``unique`` columns repeat.
 
-    The new table is rejected when ``unique`` columns repeat. Where the rows
-    carry a box they are sorted by it inside each file, so that a box filter
-    skips row groups.
+    Rows with a box are sorted by it inside each file. With ``levels`` they lie along a Hilbert curve
+    and are partitioned by its cells: choose as many as make 4 ** levels partitions of a useful size.
     """
     spark = df.sparkSession
-    fresh = f"v-{uuid.uuid4().hex}"
-    by = [c for c in sort if c in df.columns]
-    (df.sortWithinPartitions(*by) if by else df).write.parquet(f"{root}/{name}/{fresh}")
-    written = spark.read.schema(df.schema).parquet(f"{root}/{name}/{fresh}")
+    last = _current(spark, root, name)
+    slot = 1 - last["slot"] if last else 0
+    path = f"{root}/{name}/slot={slot}"
+    if levels:
+        clustered(df, levels).write.mode("overwrite").partitionBy(*BOX_COLUMNS).parquet(path)
+    else:
+        by = [c for c in ("xmin", "ymin") if c in df.columns]
+        (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(path)
     if unique:
-        clash = duplicate_keys(written, unique).limit(3).collect()
+        clash = duplicate_keys(spark.read.parquet(path), unique).limit(3).collect()
         if clash:
-            _delete(spark, f"{root}/{name}/{fresh}")
             raise ValueError(f"{name}: {', '.join(unique)} are not unique, e.g. {clash}")
-    before = _versions(spark, root, name)
-    _write_pointer(spark, root, name, [fresh, *before[:1]])
-    for version in before[1:]:
-        _delete(spark, f"{root}/{name}/{version}")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = _hadoop_path(spark, path)
-    _file_system(spark, target).delete(target, True)
-
-
-def _write_pointer(spark: SparkSession, root: str, name: str, versions: Sequence[str]) -> None:
-    path = _hadoop_path(spark, f"{root}/{name}/{POINTER}")
-    out = _file_system(spark, path).create(path, True)
-    out.write(bytearray("\n".join(versions).encode()))
-    out.close()
-
-
-def _versions(spark: SparkSession, root: str, name: str) -> list[str]:
-    """The current version of a table and the one before it; empty if it was never published."""
-    if not is_published(spark, root, name):
-        return []
-    path = _hadoop_path(spark, f"{root}/{name}/{POINTER}")
-    stream = _file_system(spark, path).open(path)
-    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    stream.close()
-    return text.split("\n")
+    build = last["build"] + 1 if last else 0
+    row = [F.lit(name).alias("name"), F.lit(build).cast("long").alias("build"), F.lit(slot).alias("slot"), F.lit(levels).alias("levels")]
+    spark.range(1).coalesce(1).select(*row).write.mode("append").parquet(f"{root}/{LOG}")
 
 
 def is_published(spark: SparkSession, root: str, name: str) -> bool:
-    path = _hadoop_path(spark, f"{root}/{name}/{POINTER}")
-    return _file_system(spark, path).exists(path)
+    return _current(spark, root, name) is not None
 
 
-def open_view(spark: SparkSession, root: str, name: str) -> DataFrame:
-    versions = _versions(spark, root, name)
-    if not versions:
+def open_view(spark: SparkSession, root: str, name: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A published table, or its rows whose box meets the given xmin, ymin, xmax, ymax."""
+    last = _current(spark, root, name)
+    if last is None:
         raise FileNotFoundError(f"{root}/{name}")
-    return spark.read.parquet(f"{root}/{name}/{versions[0]}")
+    rows = spark.read.parquet(f"{root}/{name}/slot={last['slot']}")
+    if box is None:
+        return rows.drop(*BOX_COLUMNS)
+    return in_box(rows, last["levels"], *box) if last["levels"] else rows.filter(meets_box(*box))
 
 
 def write_by_changeset(df: DataFrame, path: str) -> None:

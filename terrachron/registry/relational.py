@@ -8,7 +8,9 @@ from terrachron.functions import dates, geometry as geo, text
 from terrachron.operators import intervals, relational as rel
 from terrachron.operators.routes import set_hash
 from terrachron.operators.skew import HotGroups, first_per_key, group_rows, paged_lists
+from terrachron.plans import cluster, publish
 from terrachron.registry.base import query, sql_decimal
+from terrachron.session import work_path
 
 C = F.col
 LONG = "long"
@@ -208,6 +210,34 @@ def _(t):
     return rects.filter(geo.meets_box(3000, 50, 9000, 200)).select("id", "xmin", "xmax")
 
 
+@query(
+    "as_of_buckets",
+    "members",
+    """SELECT osm_id, member, 1996.5 AS moment FROM members WHERE (start_decdate IS NULL OR start_decdate <= 1996.5) AND (end_decdate IS NULL OR end_decdate > 1996.5)
+       UNION ALL SELECT osm_id, member, 1993.25 FROM members WHERE (start_decdate IS NULL OR start_decdate <= 1993.25) AND (end_decdate IS NULL OR end_decdate > 1993.25)""",
+)
+def _(t):
+    """The as-of filter over a table partitioned by dyadic buckets of years."""
+    path = work_path(t.spark, "timeline")
+    cluster.write_timeline(t.members().select("osm_id", "member", "start_decdate", "end_decdate"), path)
+    table = t.spark.read.parquet(path)
+    parts = [cluster.as_of(table, m).select("osm_id", "member", F.lit(m).alias("moment")) for m in (1996.5, 1993.25)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "bbox_clustered",
+    "rects",
+    "SELECT id, x0 AS xmin, x0 + w AS xmax FROM rects WHERE x0 <= 9000 AND x0 + w >= 3000 AND y0 <= 200 AND y0 + h >= 50",
+)
+def _(t):
+    """The box filter over a published table that lies along a Hilbert curve."""
+    root = work_path(t.spark, "clustered")
+    rows = t.rects().select("id", "geometry")
+    publish.publish(rows.withColumns(geo.bounds(C("geometry"))), root, "rects", ["id"], levels=4)
+    return publish.open_view(t.spark, root, "rects", (3000, 50, 9000, 200)).select("id", "xmin", "xmax")
+
+
 # ---- joins ----
 
 
