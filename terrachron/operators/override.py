@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrachron.functions.dates import to_decimal
 from terrachron.functions.geometry import LINE
@@ -18,7 +18,6 @@ from terrachron.functions.text import (
     zero_to_null,
 )
 from terrachron.operators.skew import first_per_key
-from terrachron.session import materialize
 
 TEXT = [
     "name",
@@ -71,12 +70,8 @@ def override_lines(
     transport relation are shown through it. Text dates are compared as text;
     ``by_decimal`` compares them as dates instead.
     """
-    # both the earliest change and the copies need the joined rows, so they are written once
-    joined = pair_ways_with_streets(ways, streets)
-    shared = ["osm_id", *TEXT, *NUMBERS, "tags"]
-    sides = {"tl": [*shared, "geometry", "type", "class"], "sm": [*shared, "start_date", "end_date"]}
-    packed = [F.struct(*[F.col(f"{s}.{c}").alias(c) for c in columns]).alias(s) for s, columns in sides.items()]
-    pairs = materialize(joined.select(*packed, "_differs"), "ways_and_streets")
+    # computed twice: once for the earliest change, where Spark reads only what that needs, and once for the copies
+    pairs = pair_ways_with_streets(ways, streets)
     changed = pairs.filter("_differs").select(
         F.col("tl.osm_id").alias("way"), F.col("sm.osm_id").alias("rel"),
         empty_to_null(F.col("sm.start_date")).alias("rel_start"),
@@ -106,12 +101,9 @@ def override_lines(
         end.alias("end_date"),
         F.lit(None).cast("long").alias("street"),
     )
-    changed_pairs = changed.select("way", "rel").distinct()
-    copies = pairs.join(
-        changed_pairs,
-        (F.col("tl.osm_id") == F.col("way")) & (F.col("sm.osm_id") == F.col("rel")),
-        "left_semi",
-    ).select(
+    # a street counts for a way if any of its rows differs; the join has dealt the rows by way already
+    same = Window.partitionBy("tl.osm_id", "sm.osm_id")
+    copies = pairs.withColumn("_any", F.max("_differs").over(same)).filter("_any").select(
         joined_id(F.col("sm.osm_id"), F.col("tl.osm_id")).alias("id"),
         F.col("tl.osm_id").alias("osm_id"),
         *[F.col(f"tl.{c}").alias(c) for c in ("geometry", "type", "class")],
