@@ -6,10 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
+# The keys of names in a language, and the same pattern with the region digits
+# unreachable, as existing language tables were built.
 LANGUAGE_KEY = (
     r"^name:[a-z]{2,3}(-[A-Z][a-z]{3})?((-[a-z]{2,}|x-[a-z]{2,})(-[a-z]{2,})?)?(-([A-Z]{2}|\d{3}))?$"
 )
-# The same pattern with the region digits unreachable, as existing language tables were built.
 LANGUAGE_KEY_STRICT = LANGUAGE_KEY.replace(r"\d{3}", r"\\d{3}")
 
 
