@@ -15,6 +15,7 @@ from terrachron.session import work_path
 from terrachron.sources.files import changed_files, listed_files
 from terrachron.sources.xml import ACTIONS, read_changes, read_changesets
 from terrachron.streaming import ingest
+from terrachron.streaming.timers import stream_reprocessing
 
 C = F.col
 TIES = ["part", "changeset", "price", "quantity", "timestamp"]
@@ -290,6 +291,23 @@ def _(t):
     return due.select("expiry_id", "delay", F.date_format("due_at", "yyyy-MM-dd HH:mm:ss").alias("due"))
 
 
+@query(
+    "delayed_reprocess_stream",
+    "",
+    """WITH e AS (SELECT event_id AS expiry_id, epoch_us(ts) AS us, CAST(unnest([0, 900, 7200, 10800]) AS BIGINT) AS delay FROM events), last AS (SELECT max(epoch_us(ts)) // 1000 AS ms FROM events)
+       SELECT expiry_id, CAST(delay AS INTEGER) AS delay, us + delay * 1000000 AS due_us FROM e, last WHERE delay = 0 OR (us + delay * 1000000) // 1000 <= ms""",
+)
+def _(t):
+    """All runs that fall due while the stream of expiries lasts, by timers."""
+    root = work_path(t.spark, "timers")
+    rows = t.events.select(C("event_id").alias("expiry_id"), C("ts").cast("timestamp").alias("received_at"))
+    rows.repartition(4).write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    runs = stream_reprocessing(stream).writeStream.outputMode("append").format("parquet")
+    runs.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("expiry_id", "delay", F.unix_micros("due_at").alias("due_us"))
+
+
 @query(
     "expire_tiles_stream",
     "features",
