@@ -241,6 +241,42 @@ def test_similar_shingles_against_all_pairs(spark, odd, nothing):
     assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, frame, "").collect()} == set(root)
 
 
+def test_group_a_little_below_the_similarity(spark):
+    """Hundreds of texts made from one, most of them less alike than 0.8: few pairs are proposed, and no link is lost."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(240):
+        changed = set(r.sample(range(150), r.randint(1, 2) if k < 60 else r.randint(3, 6)))
+        texts.append(" ".join(f"x{r.randrange(10**6)}" if j in changed else w for j, w in enumerate(base)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    doubtful = shingles.encoded(docs, 5, False).select("key", F.col("doc_id").alias("doc"))
+    none = spark.createDataFrame([], "a long, b long")
+    links = shingles.links_in_doubt(doubtful, none, graph.components(none), docs, 5, 0.8)
+    ids = dict(doubtful.select("key", "doc").collect())
+    found = {frozenset((ids[x.a], ids[x.b])) for x in links.collect()}
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    real = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if both >= 0.8 * (len(grams[i]) + len(grams[j]) - both):
+                real.add(frozenset((i, j)))
+
+    def roots(pairs):
+        root = list(range(len(texts)))
+        for pair in pairs:
+            a, b = sorted(root[x] for x in pair)
+            root = [a if x == b else x for x in root]
+        return root
+
+    assert found <= real and len(real) > 100 and len(set(roots(real))) > 20 and roots(found) == roots(real)
+    prefix = shingles.prefixes(shingles.shingle_sets(doubtful, docs, 5), 0.8)
+    known = prefix.withColumn("root", F.col("key"))
+    least = known.groupBy("gram").agg(F.min(F.struct("own", "key", "n", "at", "root")).alias("top")).select("gram", "top.*")
+    assert shingles.met(known, least, 0.8).count() < 10 * len(texts)
+
+
 def test_graph_components(spark):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(5, 5), (None, 3)]
