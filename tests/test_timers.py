@@ -41,3 +41,22 @@ def test_timers_equal_the_batch_and_survive_a_restart(spark):
     done = {i for i, d, _ in got if d == 10_800}
     held = [s["numRowsTotal"] for p in progress for s in p["stateOperators"]]
     assert done and held[-1] == len({i for i, _ in given}) - len(done)
+
+
+def test_expiries_share_state(spark):
+    """Four keys hold the expiries of all numbers: calls do not grow with expiries, each keeps its own first arrival."""
+    root = work_path(spark, "shared-timers")
+    first = [(i, BEGIN + datetime.timedelta(seconds=i * 137 % 9000)) for i in range(300)]
+    again = [(i, t + datetime.timedelta(seconds=9000)) for i, t in first]  # sent again before the last run
+    progress = []
+    for rows in (first, again, [(1000, BEGIN + datetime.timedelta(days=1))]):
+        spark.createDataFrame(rows, SCHEMA).repartition(2).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{root}/in")
+        query = stream_reprocessing(stream, buckets=4).writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
+        query = query.option("checkpointLocation", f"{root}/checkpoint").start(f"{root}/out")
+        query.awaitTermination()
+        progress += [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    got = sorted((r.expiry_id, r.delay, r.due_at) for r in spark.read.parquet(f"{root}/out").collect())
+    want = [(i, d, t + datetime.timedelta(seconds=d)) for i, t in first for d in (0, 900, 7200, 10_800)]
+    assert got == sorted([*want, (1000, 0, BEGIN + datetime.timedelta(days=1))])
+    assert max(progress) <= 4 and progress[-1] == 1
