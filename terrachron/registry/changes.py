@@ -13,7 +13,7 @@ from terrachron.registry.maps import _BOXES, _EXPAND_ZOOMS, _SHORT, boxes, sql_t
 from terrachron.registry.temporal import _ISLANDS, _LAG
 from terrachron.session import work_path
 from terrachron.sources.files import changed_files, listed_files
-from terrachron.sources.xml import ACTIONS, read_changes, read_changesets
+from terrachron.sources.xml import ACTIONS, read_changes, read_changesets, write_blocks
 from terrachron.streaming import ingest
 from terrachron.streaming.timers import stream_reprocessing
 
@@ -59,7 +59,7 @@ def _(t):
     path = work_path(t.spark, "diffs")
     for action in ACTIONS:
         rows = blocks.filter(C("action") == action).drop("action")
-        rows.write.format("xml").option("rootTag", "osmChange").option("rowTag", action).save(f"{path}/{action}")
+        write_blocks(rows, f"{path}/{action}", action)
     path = f"{path}/*"
     rows = read_changes(t.spark, path)
     return rows.select(
@@ -301,7 +301,7 @@ def _(t):
     """All runs that fall due while the stream of expiries lasts, by timers."""
     root = work_path(t.spark, "timers")
     rows = t.events.select(C("event_id").alias("expiry_id"), C("ts").cast("timestamp").alias("received_at"))
-    rows.repartition(4).write.parquet(f"{root}/in")
+    rows.write.parquet(f"{root}/in")
     stream = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
     runs = stream_reprocessing(stream).writeStream.outputMode("append").format("parquet")
     runs.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ACTIONS = ["create", "modify", "delete"]
+#: Blocks in one written file, about 80 MB of text before compression.
+FILE_BLOCKS = 250_000
 _FIELDS = (
     "_id: bigint, _version: int, _changeset: bigint, _timestamp: string, "
     "tag: array<struct<_k: string, _v: string>>"
@@ -28,6 +30,12 @@ def _moment(column: str) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
+def write_blocks(blocks: DataFrame, path: str, action: str) -> None:
+    """Change documents with a block of one action for each row, compressed and of bounded size, as readers cannot split them."""
+    writer = blocks.write.format("xml").option("rootTag", "osmChange").option("rowTag", action)
+    writer.option("compression", "gzip").option("maxRecordsPerFile", FILE_BLOCKS).save(path)
+
+
 def _elements(blocks: DataFrame, kind: str, action: str) -> DataFrame:
     rows = blocks.select(F.explode(kind).alias("e"))
     tags = F.map_from_entries(

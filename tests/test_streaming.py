@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from terrachron.operators.changes import advance_retries, apply_changes
 from terrachron.operators.refresh import GroupedView
 from terrachron.session import work_path
+from terrachron.sources import xml
 from terrachron.streaming import ingest
 from terrachron.streaming.retries import stream_retries
 
@@ -101,3 +102,17 @@ def test_retries_as_a_stream_equal_the_batch(spark):
     got = {k: v for k, v in seen.items() if v[1] != "settled"}
     assert got == {(r.changeset, r.type, r.osm_id): (r.retry_count, r.status) for r in state.collect()}
     assert {s for _, s in got.values()} >= {"pending"} and len(got) > 5
+
+
+def test_change_documents_are_compressed_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(xml, "FILE_BLOCKS", 4)
+    path = work_path(spark, "documents")
+    fields = "_id: bigint, _version: int, _changeset: bigint, _timestamp: string, tag: array<struct<_k: string, _v: string>>"
+    rows = [((i, 1, i, "2026-01-01T00:00:00Z", [("note", "a & b")], [(k,) for k in range(i % 3)]),) for i in range(10)]
+    blocks = spark.createDataFrame(rows, f"way struct<{fields}, nd: array<struct<_ref: bigint>>>").coalesce(1)
+    for action in ("create", "delete"):
+        xml.write_blocks(blocks, f"{path}/{action}", action)
+    files = [p for p in Path(path.removeprefix("file:")).rglob("part-*")]
+    assert len(files) == 6 and all(p.name.endswith(".gz") for p in files)
+    got = sorted((r.action, r.osm_id, r.node_count, r.tags["note"]) for r in xml.read_changes(spark, f"{path}/*").collect())
+    assert got == sorted((a, i, i % 3, "a & b") for a in ("create", "delete") for i in range(10))
