@@ -105,3 +105,27 @@ def test_least_over_points(spark):
         for i in range(a, b):
             want[g, i] = min(v, want.get((g, i), v))
     assert got == want
+
+
+def plain(rows):
+    return sorted(str({k: v for k, v in r.asDict(recursive=True).items() if k != "geometry"}) for r in rows.collect())
+
+
+def test_ways_as_lists_equal_the_sweep(spark):
+    """The forms of the queries, with the larger ways swept and the others as lists, against the sweep alone."""
+    rows = [r for r in random_rows(7, 80) if r[0] < 5] + [(9, i, str(i % 3), None, "a", None, None) for i in range(4)] + [(10, 1, "1", None, "a", 1905.0, 1901.0)]
+    rows = list({(r[0], r[1], r[2], r[3]): r for r in rows}.values())
+    sources = sources_of(spark, rows)
+    assert plain(routes.normalize_routes(sources)[1]) == plain(routes.normalize_routes(sources, listed=0)[1])
+    periods, members = routes.swept_periods(sources)
+    want = plain(routes.routes_with_lists(periods, members)), plain(routes.index_routes(periods, members))
+    for listed in (12, 128):
+        got = plain(routes.normalized_lists(sources, listed=listed).select(routes.routes_with_lists(periods, members).columns))
+        assert (got, plain(routes.normalized_slots(sources, listed=listed))) == want
+
+
+def test_ordinary_ways_are_dealt_out_once(spark):
+    """One exchange by way, none for segments, merging, ranks and slots."""
+    sources = sources_of(spark, random_rows(5, 40))
+    plan = routes.normalized_slots(sources)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1
