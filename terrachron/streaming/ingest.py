@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from terrachron.operators.changes import newest_changes
+from terrachron.operators.changes import ELEMENT, newest_changes
+from terrachron.operators.skew import dealt
 
 CORRUPT = "_corrupt_record"
 
@@ -35,6 +36,7 @@ class ChangeLog:
         self.spark, self.path, self.order, self.ties = spark, path, list(order), list(ties)
 
     def add(self, changes: DataFrame, batch: int) -> None:
+        changes = dealt(changes, ELEMENT, changes.count())
         rows = newest_changes(changes, self.order, self.ties).withColumn("batch", F.lit(batch))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
 
@@ -42,6 +44,7 @@ class ChangeLog:
         """The elements that exist after all batches, or after those up to a number."""
         log = self.spark.read.parquet(self.path)
         log = log if up_to is None else log.filter(F.col("batch") <= up_to)
+        log = dealt(log, ELEMENT, log.count())
         newest = newest_changes(log, self.order, [*self.ties, "batch"])
         return newest.filter(F.col("action") != "delete").drop("action", "batch")
 

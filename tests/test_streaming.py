@@ -3,6 +3,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from terrachron.operators.changes import advance_retries, apply_changes
+from terrachron.operators import skew
 from terrachron.operators.refresh import GroupedView
 from terrachron.session import work_path
 from terrachron.sources import xml
@@ -116,3 +117,14 @@ def test_change_documents_are_compressed_and_bounded(spark, monkeypatch):
     assert len(files) == 6 and all(p.name.endswith(".gz") for p in files)
     got = sorted((r.action, r.osm_id, r.node_count, r.tags["note"]) for r in xml.read_changes(spark, f"{path}/*").collect())
     assert got == sorted((a, i, i % 3, "a & b") for a in ("create", "delete") for i in range(10))
+
+
+def test_a_large_batch_is_dealt_out(spark, monkeypatch):
+    """Tasks take a bounded number of rows, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    rows = [("way", i, 1, "modify", i, 0) for i in range(400)]
+    path = f"{work_path(spark, 'dealt')}/state"
+    table = ingest.ChangeLog(spark, path)
+    table.add(spark.createDataFrame(rows, SCHEMA), 0)
+    assert len(files_below(path)) == 8
+    assert table.elements().rdd.getNumPartitions() == 8 and table.elements().count() == 400
