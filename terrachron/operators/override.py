@@ -17,7 +17,8 @@ from terrachron.functions.text import (
     tag,
     zero_to_null,
 )
-from terrachron.operators.skew import first_per_key
+from terrachron.operators.skew import dealt, first_per_key
+from terrachron.session import materialize
 
 TEXT = [
     "name",
@@ -70,8 +71,10 @@ def override_lines(
     transport relation are shown through it. Text dates are compared as text;
     ``by_decimal`` compares them as dates instead.
     """
-    # computed twice: once for the earliest change, where Spark reads only what that needs, and once for the copies
-    pairs = pair_ways_with_streets(ways, streets)
+    # read twice: once for the earliest change, where Spark reads only what that needs, and once for the copies
+    streets = materialize(streets, "streets")
+    members, lines = streets.count(), ways.count() + relations.count()
+    pairs = pair_ways_with_streets(ways, dealt(streets, ["member"], members))
     changed = pairs.filter("_differs").select(
         F.col("tl.osm_id").alias("way"), F.col("sm.osm_id").alias("rel"),
         empty_to_null(F.col("sm.start_date")).alias("rel_start"),
@@ -130,7 +133,7 @@ def override_lines(
     )
     combined = way_rows.unionByName(relation_rows)
     order = [F.col(c).asc_nulls_last() for c in ("source_type", "relation", "osm_id", "start_date", "end_date", "name", "highway")]
-    unique = first_per_key(combined, ["id"], order)
+    unique = first_per_key(dealt(combined, ["id"], members + lines), ["id"], order)
     text = [c for c in TEXT if c != "highway"]
     return unique.select(
         "id",

@@ -132,6 +132,12 @@ def street_case(spark, relation_name):
     return override.override_lines(frame(ways, way), frame(streets, street), relations.limit(0))
 
 
+def test_overrides_are_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 1)
+    lines = street_case(spark, "Oak Street")
+    assert lines.rdd.getNumPartitions() == 2 and lines.count() == 2
+
+
 def test_override_goldens(spark):
     got = {r.id: (r.name, r.start_date, r.end_date, r.relation) for r in street_case(spark, "Oak Street").collect()}
     assert got == {"1_100": ("Old Road", "1915", "1984", None), "-5000_100": ("Oak Street", "1984", None, 5000)}
