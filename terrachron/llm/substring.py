@@ -37,7 +37,7 @@ from terrachron.session import materialize
 LENGTH = 20
 ANCHOR = 7
 #: Word hashes and passages a task holds at once; bounds memory, not results.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 150_000
 SHARD_PASSAGES = 20_000
 #: Anchors with so many passages in one of so many documents are taken window by window.
 HOT_PASSAGES = 25
@@ -59,6 +59,26 @@ class WordHashes(dict):
         return h
 
 
+def word_hashes(texts: pa.Array, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, end to end, and where each text ends; the words of one text at a time are held."""
+    rows = [np.zeros(0, np.uint64)]
+    for text in texts:
+        words = common.split_words(text.as_py())
+        rows.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(rows), np.cumsum([len(r) for r in rows[1:]])
+
+
+def least_of(values: np.ndarray, span: int) -> np.ndarray:
+    """For each ``span`` neighbours the place of the first least one among them, without a copy of each window."""
+    n = len(values) - span + 1
+    least, place = values[:n].copy(), np.zeros(n, np.uint8 if span <= 256 else np.int64)
+    for k in range(1, span):
+        better = values[k : k + n] < least
+        np.copyto(least, values[k : k + n], where=better)
+        place[better] = k
+    return place
+
+
 def runs(hashes: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor, over texts laid end to end.
 
@@ -72,20 +92,21 @@ def runs(hashes: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tupl
     for k in range(anchor):
         gram = gram * _ODD + hashes[k : k + len(gram)]
     gram = mix(gram)
-    least = np.lib.stride_tricks.sliding_window_view(gram, span).argmin(axis=1) + np.arange(total - length + 1)
-    text = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+    text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.r_[0, ends]))
     starts = np.flatnonzero(np.arange(total - length + 1) + length <= ends[text[: total - length + 1]])
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    place = least[starts]
+    place = starts + least_of(gram, span)[starts]
     fresh = np.r_[True, (np.diff(starts) != 1) | (np.diff(place) != 0) | (np.diff(text[starts]) != 0)]
     first = np.flatnonzero(fresh)
     count = np.diff(np.r_[first, len(starts)])
     begin, spot = starts[first], place[first]
+    del starts, place, fresh
     powers = np.full(total, _ODD, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     prefix = np.r_[np.uint64(0), np.cumsum(hashes * powers, dtype=np.uint64)]
+    del powers
     back = np.full(total, np.uint64(pow(int(_ODD), -1, 1 << 64)), np.uint64)
     back[0] = 1
     back = np.multiply.accumulate(back)
@@ -152,9 +173,7 @@ def anchored(docs: DataFrame, length: int, anchor: int, hot: np.ndarray | None =
         for part in common.slices(batches):
             if len(known) > MEMORY_WORDS:
                 known = WordHashes()
-            words = [common.split_words(t) for t in part.column("text").to_pylist()]
-            ends = np.cumsum([len(w) for w in words])
-            hashes = np.fromiter((known[w] for row in words for w in row), np.uint64, int(ends[-1]) if len(ends) else 0)
+            hashes, ends = word_hashes(part.column("text"), known)
             found = runs(hashes, ends, length, anchor)
             number, start, windows, place, gram, passage = single_windows(hashes, ends, found, shared.value, length)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[number]

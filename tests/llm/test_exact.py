@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -346,6 +347,20 @@ def test_substring_with_a_phrase_everywhere(spark):
     assert (given.agg(F.max("count")).first()[0] or 0) < 500
 
 
+def test_anchoring_copies_no_windows():
+    """Anchors as by a plain minimum over each window, in few times the room of the words' hashes."""
+    r = np.random.default_rng(5)
+    values = r.integers(0, 40, 5_000).astype(np.uint64)
+    want = [int(np.argmin(values[k : k + 14])) for k in range(len(values) - 13)]
+    assert substring.least_of(values, 14).tolist() == want and substring.least_of(values, 1).tolist() == [0] * 5_000
+    hashes = r.integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    tracemalloc.start()
+    found = substring.runs(hashes, np.arange(400, 200_001, 400), 20, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[2].sum() == 500 * 381 and peak < 8 * hashes.nbytes
+
+
 def test_substring_odd_rows(odd, nothing):
     assert substring.deduplicate(nothing).count() == 0
     want = brute_substring([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None])
