@@ -1,8 +1,11 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
+"""Near duplicates by SimHash fingerprints, and the Jaccard similarity of word shingles as the exact check.
 
-MinHash values in bands propose pairs; each pair is then held against the exact similarity
-of its shingle sets. Two texts with similarity 0.8 share no band with a chance of
-0.0002 % (1 - 0.8 ** 4, to the power of 25), and those more alike still more seldom.
+SimHash fingerprints, met in the grid of their segment popcounts (``simhash.py``), propose pairs first; each
+pair is then held against the exact similarity of its shingle sets. Fingerprints four bits apart
+find copies with little changed, few of the pairs close to the similarity. So MinHash
+values in bands propose pairs among the texts that fingerprints have left apart, held against the same check.
+Two texts with similarity 0.8 share no band with a chance of 0.0002 % (1 - 0.8 ** 4, to the power of 25),
+and those more alike still more seldom.
 
 As with fingerprints, large cells are not expanded into pairs: members are compared
 with their cell's pivot. Where a cell then still holds several components, its sets
@@ -29,8 +32,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([xxhash.xxh64_intdigest(bytes([k]), 42) for k in range(BANDS * ROWS)], np.uint64)
 #: Distinct words whose hashes a task remembers; bounds memory, not results.
 MEMORY_WORDS = 150_000
-#: Shingles hashed at once.
-CHUNK = 200_000
+#: Shingles hashed at once, of many short texts or a part of a long one.
+CHUNK = 32_768
 
 
 def sets(texts: list[str], known: WordHashes, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -56,21 +59,28 @@ class ByteHashes(WordHashes):
         return h
 
 
-def bands(grams: np.ndarray) -> np.ndarray:
-    """A key for each band of least hashes."""
-    least = np.full(len(_SEEDS), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for k in range(0, len(grams), CHUNK):
-        part = grams[k : k + CHUNK]
+def bands(found: list[np.ndarray]) -> np.ndarray:
+    """For each set a row of keys, one for each band of its least hashes."""
+    least = np.full((len(_SEEDS), len(found)), np.uint64(0xFFFFFFFFFFFFFFFF))
+    sizes = np.array([len(g) for g in found], np.int64)
+    filled = np.flatnonzero(sizes)
+    ends = np.cumsum(sizes[filled])
+    begins = ends - sizes[filled]
+    laid = np.concatenate([np.zeros(0, np.uint64), *found])
+    for k in range(0, len(laid), CHUNK):
+        part = laid[k : k + CHUNK]
+        first, last = np.searchsorted(ends, k, "right"), np.searchsorted(begins, k + len(part), "left")
+        own, at = filled[first:last], np.maximum(begins[first:last] - k, 0)
         for j, seed in enumerate(_SEEDS):
-            least[j] = min(least[j], mix(part ^ seed).min())
-    key = np.zeros(BANDS, np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = key * _ODD + mix(column)
+            least[j, own] = np.minimum(least[j, own], np.minimum.reduceat(mix(part ^ seed), at))
+    key = np.zeros((len(found), BANDS), np.uint64)
+    for row in range(ROWS):
+        key = key * _ODD + mix(least[row::ROWS].T)
     return mix(key).view(np.int64)
 
 
 def encoded(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
-    """``doc_id``, ``key`` (a hash of the shingle set), ``n`` and the set itself (``grams``) or its ``bands``."""
+    """``doc_id``, ``key`` (a hash of the shingle set), ``n`` and the set itself (``grams``), or its ``bands`` and the text's fingerprint ``fp``."""
     name = "grams" if whole else "bands"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,15 +88,19 @@ def encoded(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
         for part in common.slices(batches):
             if len(known) > MEMORY_WORDS:
                 known = ByteHashes()
-            found = sets(part.column("text").to_pylist(), known, shingle)
+            texts = part.column("text").to_pylist()
+            found = sets(texts, known, shingle)
             keys = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in found], np.uint64).view(np.int64)
-            lists = [g.view(np.int64) if whole else bands(g) for g in found]
+            lists = [g.view(np.int64) for g in found] if whole else list(bands(found))
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
             sizes = pa.array([len(g) for g in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), sizes, values], ["doc_id", "key", "n", name])
+            columns = {"doc_id": part.column("doc_id"), "key": pa.array(keys), "n": sizes, name: values}
+            if not whole:
+                columns["fp"] = pa.array([simhash.fingerprint(t, shingle) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, key long, n int, {name} array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, key long, n int, {name} array<long>" + ("" if whole else ", fp long"))
 
 
 def fitting(na: Column, nb: Column, similarity: float) -> Column:
@@ -120,6 +134,24 @@ def alike(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int,
     return verified(pairs, shingle_sets(ends.select("x.*"), docs, shingle), similarity)
 
 
+def by_fingerprint(distinct: DataFrame, most: int = simhash.DISTANCE) -> DataFrame:
+    """Pairs ``a, b`` of sets: each with the pivot, the set with most copies, of its component of fingerprints ``most`` bits apart or fewer."""
+    filled = distinct.where("n > 0").select("key", "copies", "fp")
+    fps = materialize(filled.groupBy("fp").agg(F.sum("copies").alias("copies")), "distinct_fingerprints")
+    rooted_ = filled.join(simhash.components_of(fps, most), "fp", "left").select("key", "copies", F.coalesce("root", "fp").alias("root"))
+    rooted_ = materialize(rooted_, "fingerprint_roots")
+    tops = rooted_.groupBy("root").agg(F.max(F.struct("copies", "key")).alias("top"), F.count("*").alias("m")).where("m > 1")
+    tops = tops.select("root", F.col("top.key").alias("b"))
+    return rooted_.join(tops.hint("merge"), "root").where("key <> b").select(F.col("key").alias("a"), "b")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of pairs ``a, b`` those whose ends lie in different components ``roots``; a set without a link is its own."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root")), c, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def prefixes(grams: DataFrame, similarity: float) -> DataFrame:
     """The shingles by which a set can meet another of the similarity: ``gram, key, n, at, own``.
 
@@ -189,14 +221,18 @@ def near_duplicates(
     """
     texts = common.documents(docs, id_col, text_col).where("doc_id is not null")
     rows = materialize(encoded(texts, shingle, False), "signatures")
-    distinct = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    distinct = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))
     distinct = materialize(distinct, "distinct_sets")
+    near = materialize(alike(by_fingerprint(distinct), distinct, texts, shingle, similarity), "fingerprint_links")
+    joined = materialize(graph.components(near, "a", "b"), "components")
+
     at = distinct.where("n > 0").select("key", "copies", F.posexplode("bands").alias("band", "cell"))
     cells = at.groupBy("band", "cell").agg(F.max(F.struct("copies", "key")).alias("top"), F.count("*").alias("m")).where("m > 1")
     cells = cells.select("band", "cell", F.col("top.key").alias("pivot"))
     shared = materialize(at.join(cells.hint("merge"), ["band", "cell"]).select("band", "cell", "key", "pivot"), "bands")
     stars = shared.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-    stars = materialize(alike(stars, distinct, texts, shingle, similarity), "stars")
+    stars = alike(apart(stars.distinct(), joined), distinct, texts, shingle, similarity)
+    stars = materialize(stars.unionByName(near), "stars")
     part = materialize(graph.components(stars, "a", "b"), "components")
 
     named = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))

@@ -242,6 +242,46 @@ def test_similar_shingles_against_all_pairs(spark, odd, nothing):
     assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, frame, "").collect()} == set(root)
 
 
+def test_fingerprints_propose_and_similarity_decides(spark, monkeypatch):
+    """Where no bands meet, near copies are found by their fingerprints; equal fingerprints of unlike sets are no link."""
+    r = random.Random(2)
+    rows = []
+    for group in range(15):
+        base = [f"w{r.randrange(5000)}" for _ in range(600)]
+        rows += [(group * 4, " ".join(base)), (group * 4 + 1, " ".join(base[:-1])), (group * 4 + 2, " ".join(base[2:])), (group * 4 + 3, " ".join(base[300:]))]
+    phrase = "one two three four five " * 300
+    rows += [(100 + k, phrase + " ".join(f"own{k}x{j}" for j in range(30))) for k in range(4)]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    near = lambda i, j: bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= 4
+    assert near(60, 61) and near(60, 62) and near(60, 63)
+
+    def no_bands(docs, shingle, whole):
+        found = encoded(docs, shingle, whole)
+        return found if whole else found.withColumn("bands", F.array("key"))
+
+    encoded = shingles.encoded
+    monkeypatch.setattr(shingles, "encoded", no_bands)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert dict(encoded(frame, 5, False).select("doc_id", "fp").collect()) == {d: p for (d, _), p in zip(rows, prints)}
+    found = dict(shingles.near_duplicates(frame).collect())
+    sure = {j: i for i in range(0, 60, 4) for j in (i + 1, i + 2) if near(i, j)}
+    assert len(sure) > 10 and all(found[j] == i for j, i in sure.items())
+    assert all(found[i + 3] == i + 3 for i in range(0, 60, 4)) and all(found[100 + k] == 100 + k for k in range(4))
+
+
+def test_bands_of_many_sets_at_once():
+    """As by a plain minimum over each set, with empty sets between and sets over several chunks."""
+    r = np.random.default_rng(4)
+    found = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 3, 1, 0, 0, 2 * shingles.CHUNK + 5, 40, shingles.CHUNK, 1, 0)]
+    got = shingles.bands(found)
+    for grams, row in zip(found, got):
+        least = np.array([shingles.mix(grams ^ seed).min(initial=(1 << 64) - 1) for seed in shingles._SEEDS], np.uint64)
+        key = np.zeros(shingles.BANDS, np.uint64)
+        for column in least.reshape(shingles.BANDS, shingles.ROWS).T:
+            key = key * shingles._ODD + shingles.mix(column)
+        assert row.tolist() == shingles.mix(key).view(np.int64).tolist()
+
+
 def test_group_a_little_below_the_similarity(spark):
     """Hundreds of texts made from one, most of them less alike than 0.8: few pairs are proposed, and no link is lost."""
     r = random.Random(8)
