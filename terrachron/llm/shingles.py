@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrachron.llm import common, graph, simhash
 from terrachron.llm.substring import WordHashes, mix
-from terrachron.session import materialize
+from terrachron.session import materialize, scratch, work_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -119,9 +119,9 @@ def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame
 
 def shingle_sets(keys: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """``key``, ``n`` and ``grams`` of the sets ``key``, each read again from its first document ``doc``."""
-    keys = materialize(keys.select("key", "doc").distinct(), "keys")
-    asked = docs.join(common.small(keys.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    grams = encoded(asked, shingle, True).join(common.small(keys.select("key").distinct()), "key", "left_semi")
+    keys = common.small(materialize(keys.select("key", "doc").distinct(), "keys"))
+    asked = docs.join(keys.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    grams = encoded(asked, shingle, True).join(keys.select("key"), "key", "left_semi")
     return materialize(grams.select("key", "n", "grams").dropDuplicates(["key"]), "shingle_sets")
 
 
@@ -203,7 +203,7 @@ def links_in_doubt(doubtful: DataFrame, links: DataFrame, roots: DataFrame, docs
     first = lambda df: df.groupBy("gram").agg(F.min(F.struct("own", "key", "n", "at", "root")).alias("top")).select("gram", "top.*")
     stars = materialize(verified(met(known, first(known), similarity), grams, similarity), "prefix_links")
 
-    roots = materialize(graph.components(links.unionByName(stars), "a", "b"), "components")
+    roots = graph.components(links.unionByName(stars))
     known = materialize(rooted(prefix, roots), "known_prefixes")
     top = first(known).select("gram", F.col("root").alias("top_root"))
     others = known.join(top.hint("merge"), "gram").where("root <> top_root").drop("top_root")
@@ -224,7 +224,7 @@ def near_duplicates(
     distinct = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))
     distinct = materialize(distinct, "distinct_sets")
     near = materialize(alike(by_fingerprint(distinct), distinct, texts, shingle, similarity), "fingerprint_links")
-    joined = materialize(graph.components(near, "a", "b"), "components")
+    joined = graph.components(near)
 
     at = distinct.where("n > 0").select("key", "copies", F.posexplode("bands").alias("band", "cell"))
     cells = at.groupBy("band", "cell").agg(F.max(F.struct("copies", "key")).alias("top"), F.count("*").alias("m")).where("m > 1")
@@ -233,7 +233,7 @@ def near_duplicates(
     stars = shared.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     stars = alike(apart(stars.distinct(), joined), distinct, texts, shingle, similarity)
     stars = materialize(stars.unionByName(near), "stars")
-    part = materialize(graph.components(stars, "a", "b"), "components")
+    part = graph.components(stars)
 
     named = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
     known = shared.join(named("key"), "key", "left").join(named("pivot"), "pivot", "left")
@@ -243,7 +243,7 @@ def near_duplicates(
     doubtful = known.join(mixed.hint("merge"), ["band", "cell"], "left_semi").select("key").distinct()
     doubtful = doubtful.join(distinct.select("key", F.col("first").alias("doc")), "key")
     links = materialize(stars.unionByName(links_in_doubt(doubtful, stars, part, texts, shingle, similarity)), "links")
-    roots = graph.components(links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("root"))
+    roots = graph.components(links).select(F.col("node").alias("key"), F.col("component").alias("root"))
     named = materialize(distinct.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
@@ -251,6 +251,9 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Of each component the document with the smallest ``doc_id``, with all its rows; rows with a null id stay."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near_duplicates")
+    path = work_path(docs.sparkSession, "near_duplicates")
+    with scratch(docs.sparkSession):
+        found = near_duplicates(docs, id_col=id_col, **options)
+        found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct().write.parquet(path)
+    gone = docs.sparkSession.read.schema("gone_id long").parquet(path)
     return docs.join(common.small(gone), docs[id_col] == gone["gone_id"], "left_anti")

@@ -107,7 +107,7 @@ def components_of(fps: DataFrame, most: int = DISTANCE, blocks: int = BLOCKS) ->
 
     near = distance(embedding(F.col("fp")), embedding(F.col("pivot"))) <= most
     stars = shared.where((F.col("fp") != F.col("pivot")) & near & (distance(F.col("fp"), F.col("pivot")) <= most))
-    part = materialize(graph.components(stars.select("fp", "pivot").distinct(), "fp", "pivot"), "components")
+    part = graph.components(stars, "fp", "pivot")
 
     root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
     named = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
@@ -120,9 +120,9 @@ def components_of(fps: DataFrame, most: int = DISTANCE, blocks: int = BLOCKS) ->
     links = others.join(rest, ["grid", "cell"]).where(
         (F.col("a_root") != F.col("b_root")) & bound & (distance(F.col("a"), F.col("b")) <= most)
     )
-    whole = graph.components(links.select("a_root", "b_root").distinct(), "a_root", "b_root")
+    whole = graph.components(links, "a_root", "b_root")
     joined = part.select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    joined = joined.unionByName(whole.select(F.col("node").alias("fp"), F.col("node").alias("root"))).distinct()
+    joined = joined.unionByName(whole.select(F.col("node").alias("fp"), F.col("node").alias("root")))
     higher = whole.select(F.col("node").alias("root"), F.col("component").alias("top"))
     return joined.join(higher, "root", "left").groupBy("fp").agg(F.min(F.coalesce("top", "root")).alias("root"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from terrachron import session
 from terrachron.llm import binary_search, bpe, graph, lines, packing, quality, queries, shingles, simhash, substring
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -337,6 +338,26 @@ def test_graph_components(spark):
     assert found == {x: find(x) for x in root}
 
 
+def test_graph_components_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
+    test_graph_components(spark)
+
+
+def test_graph_components_of_stars_take_one_pass(spark, monkeypatch):
+    written, write = [], graph.write
+    monkeypatch.setattr(graph, "write", lambda df, label: written.append(label) or write(df, label))
+    stars = spark.createDataFrame([(k, k % 3) for k in range(30)] + [(7, 1)], "a long, b long")
+    assert dict(graph.components(stars).collect()) == {k: k % 3 for k in range(30)}
+    assert written == ["edges", "nodes"]
+
+
+def test_keep_one_leaves_its_result_alone(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda _: str(tmp_path))
+    kept = shingles.keep_one(odd)
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["near_duplicates"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in shingles.keep_one(odd).collect())
+
+
 def brute_substring(rows, length=20):
     first, out = {}, {}
     for doc, text in sorted(rows, key=lambda r: r[0]):
